@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftguard.operators.metrics import binary_metrics
-from siftguard.operators.rule_search import SearchSettings, evolve_rules
+from siftguard.operators.rule_search import SearchSettings, evolve_rules, survey_columns
 from siftguard.operators.rules import apply_rule_set
 from siftguard.operators.tfidf import assemble_features, tfidf_fit, vocabulary_rows
+from siftguard.session import keep_hot
 
 MODELS: dict[str, Callable] = {
     "RandomForest": lambda seed: RandomForestClassifier(numTrees=200, maxDepth=8, seed=seed),
@@ -37,7 +39,7 @@ METRICS_SCHEMA = (
 
 def shift_to_positive(train: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     """Move features by their smallest training value, where that is below zero."""
-    low = train.select(Summarizer.min("features").alias("m")).first()["m"].toArray()
+    low = train.select(Summarizer.min(F.col("features")).alias("m")).first()["m"].toArray()
     if (low >= 0).all():
         return list(tables)
     shifts = F.array(*[F.lit(float(min(v, 0.0))) for v in low])
@@ -49,7 +51,8 @@ def split_features(tokenized: DataFrame, test_fold: int, size: int = 300) -> tup
     """Train and test vectors; the vocabulary is learnt on the training folds only."""
     train = tokenized.filter(F.col("fold") != test_fold)
     vocabulary = vocabulary_rows(tfidf_fit(train, size))
-    both = assemble_features(tokenized, vocabulary).select("fold", "label", "features").persist()
+    both = assemble_features(tokenized, vocabulary).select("fold", "label", "features")
+    both = keep_hot(both, 20_000)
     return both.filter(F.col("fold") != test_fold), both.filter(F.col("fold") == test_fold)
 
 
@@ -95,9 +98,8 @@ def label_budget_curve(
         taken = extra.orderBy(order).limit(k)
         train = base.unionByName(taken.drop(order))
         vocabulary = vocabulary_rows(tfidf_fit(train, size))
-        model = MODELS["RandomForest"](seed + k).fit(
-            assemble_features(train, vocabulary).select("label", "features")
-        )
+        vectors = keep_hot(assemble_features(train, vocabulary).select("label", "features"), 20_000)
+        model = MODELS["RandomForest"](seed + k).fit(vectors)
         return (k, *_evaluate(model, assemble_features(test, vocabulary)))
 
     with ThreadPool(len(budgets)) as pool:
@@ -117,15 +119,20 @@ def lambda_sensitivity(
     """
     base = settings or SearchSettings()
 
+    def prepare(fold: int):
+        return survey_columns(df.filter(F.col("fold") != fold), label, features, base)
+
     def one(task: tuple[float, int]) -> tuple:
         lam, fold = task
-        s = SearchSettings(**{**base.__dict__, "lam": lam, "seed": base.seed + fold})
-        rules = evolve_rules(df.filter(F.col("fold") != fold), label, features, s).rules
+        s = replace(base, lam=lam, seed=base.seed + fold)
+        rules = evolve_rules(df.filter(F.col("fold") != fold), label, features, s, surveys[fold]).rules
         scored = apply_rule_set(df.filter(F.col("fold") == fold), rules)
         f1 = binary_metrics(scored, label, "predicted").first()["f1"]
         return (lam, fold, f1, len(rules))
 
     tasks = [(lam, fold) for lam in lams for fold in range(folds)]
     with ThreadPool(8) as pool:
+        # What does not depend on lambda is found once per fold.
+        surveys = pool.map(prepare, range(folds))
         rows = pool.map(one, tasks)
     return df.sparkSession.createDataFrame(rows, "lam double, fold int, f1 double, n_rules int")

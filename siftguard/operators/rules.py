@@ -256,7 +256,8 @@ def threshold_candidates(
                 cuts.alias("cuts"),
             )
         )
-    one = df.agg(F.array(*aggs).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    one = df.agg(F.count_if(open_pos).alias("open_positives"), F.array(*aggs).alias("s"))
+    one = one.select("open_positives", F.explode("s").alias("s")).select("open_positives", "s.*")
     op = F.when(F.col("m1") > F.col("m0"), 1).otherwise(-1)
     thresholds = F.concat(
         F.array((F.col("m1") + F.col("m0")) / 2),
@@ -264,6 +265,6 @@ def threshold_candidates(
     )
     kinds = F.array(*[F.lit(k) for k in ("midpoint", "p10", "p25", "p50")])
     return one.select(
-        "feature", op.alias("op"),
+        "open_positives", "feature", op.alias("op"),
         F.explode(F.arrays_zip(kinds.alias("kind"), thresholds.alias("thr"))).alias("c"),
-    ).select("feature", "op", F.col("c.kind").alias("kind"), F.col("c.thr").alias("thr"))
+    ).select("feature", "op", "c.kind", "c.thr", "open_positives")

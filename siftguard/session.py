@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,3 +71,14 @@ def spread(scan: DataFrame) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
     return scan.repartition(cores) if splits < cores else scan
+
+
+def keep_hot(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
+    """Cache a table for many passes, in no more partitions than its size asks for.
+
+    Iterative work pays for every task in every pass. The cache may be rebuilt from
+    its sources if an executor is lost.
+    """
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    wanted = max(1, -(-cached.count() // rows_per_partition))
+    return cached.coalesce(wanted) if wanted < cached.rdd.getNumPartitions() else cached

@@ -84,18 +84,18 @@ def stream_profile_scores(days: DataFrame, rho: float, warmup: int, features: li
         held = list(held)
         mean, spread = np.asarray(mean, dtype=float), np.asarray(spread, dtype=float)
         for i, today in enumerate(x):
-            if len(held) < warmup * len(features):
+            if not len(mean):
                 held += today.tolist()
                 if len(held) == warmup * len(features):
                     first = np.asarray(held).reshape(warmup, -1)
                     mean, spread = first.mean(0), first.var(0) + 1e-6
+                    held = []
                 continue
             z[i] = np.maximum((today - mean) / np.sqrt(spread), 0.0)
             mean = rho * mean + (1.0 - rho) * today
             spread = rho * spread + (1.0 - rho) * np.square(today - mean) + 1e-9
         if len(rows):
             seen = int(rows["day"].iloc[-1])
-        # The warm-up rows are needed until the profile exists; later only their number.
         state.update((seen, [float(v) for v in held], mean.tolist(), spread.tolist()))
         out = pd.DataFrame(z, columns=names)
         out.insert(0, "day", rows["day"].to_numpy())
