@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def ranking_curve(scores: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(F.col(label).cast("long")).alias("p"),
         F.sum((1 - F.col(label)).cast("long")).alias("n"),
     )
-    groups = groups.withColumn("__descending", -F.col("score"))
+    groups = groups.withColumn("__descending", -F.col("score")).persist(StorageLevel.MEMORY_AND_DISK)
     bucket = quantile_bucket(groups, "__descending")
     return running(
         groups.withColumn("__all", F.lit(1)), ["__all"], bucket, ["__descending"],
