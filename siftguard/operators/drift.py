@@ -355,9 +355,11 @@ def window_signals(stream: DataFrame, rule: KsRule, block_windows: int = 2_000)
             }
         )
 
-    reference_rows = references.join(lengths, "stream_id").withColumn(
-        "block",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("last") - rule.first_end) / span).cast("long"), F.lit(0).cast("long")))),
+    last_block = F.greatest(F.floor((F.col("last") - rule.first_end) / span).cast("long"), F.lit(0).cast("long"))
+    # Aliased columns: both sides of the cogroup come from the same stream.
+    reference_rows = references.join(lengths, "stream_id").select(
+        F.col("stream_id").alias("stream_id"), "ref", "last",
+        F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("block"),
     )
     return (
         placed.groupBy("stream_id", "block")
