@@ -6,7 +6,6 @@ are whole numbers: the largest ``|c1 * n2 - c2 * n1|`` over the cumulative count
 
 from __future__ import annotations
 
-from fractions import Fraction
 from functools import lru_cache
 from math import comb, exp, gcd, sqrt
 
@@ -25,10 +24,10 @@ def tail_probability(x: float) -> float:
     return min(1.0, max(0.0, 2.0 * sum((-1) ** (j - 1) * exp(-2.0 * j * j * x * x) for j in range(1, 101))))
 
 
-def _rejects_equal(n: int, k: int, alpha: Fraction) -> bool:
+def _rejects_equal(n: int, k: int, alpha: float) -> bool:
     """Exact: P(distance >= k/n) < alpha for two samples of n."""
     tail = sum((-1) ** (i - 1) * comb(2 * n, n + i * k) for i in range(1, n // k + 1))
-    return Fraction(2 * tail, comb(2 * n, n)) < alpha
+    return 2 * tail / comb(2 * n, n) < alpha
 
 
 def _rejects_unequal(n1: int, n2: int, gap: int, alpha: float) -> bool:
@@ -52,11 +51,10 @@ def critical_gap(n1: int, n2: int, alpha: float) -> int:
     largest = n1 * n2
     unit = n1 if n1 == n2 else gcd(n1, n2)
     exact = max(n1, n2) <= EXACT_LIMIT
-    level = Fraction(alpha)
 
     def rejects(step: int) -> bool:
         if exact and n1 == n2:
-            return _rejects_equal(n1, step, level)
+            return _rejects_equal(n1, step, alpha)
         if exact:
             return _rejects_unequal(n1, n2, step * unit, alpha)
         distance = step * unit / largest

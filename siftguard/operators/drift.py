@@ -330,7 +330,7 @@ def window_signals(stream: DataFrame, rule: KsRule, block_windows: int = 2_000)
     stream_type = stream.schema["stream_id"].dataType.simpleString()
 
     def test(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"stream_id": [], "window_id": [], "gap": [], "signal": []})
+        empty = pd.DataFrame(columns=["stream_id", "window_id", "gap", "signal"])
         if left.empty or right.empty:
             return empty
         left = left.sort_values("pos")
@@ -350,7 +350,7 @@ def window_signals(stream: DataFrame, rule: KsRule, block_windows: int = 2_000)
         )
         return pd.DataFrame(
             {
-                "stream_id": key[0], "window_id": (ends - rule.first_end) // rule.step,
+                "stream_id": np.full(len(ends), key[0], dtype=object), "window_id": (ends - rule.first_end) // rule.step,
                 "gap": gaps, "signal": gaps >= limits[rule.first_size],
             }
         )

@@ -134,6 +134,7 @@ def score_versions(
     def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []
         pos = left["pos"].to_numpy()
+        left = left.drop(columns="stream_id")
         for v in right.itertuples():
             inside = left[(pos >= v.active_from) & (pos <= v.active_to)]
             if inside.empty:
@@ -143,13 +144,14 @@ def score_versions(
             parts.append(
                 pd.DataFrame(
                     {
-                        "stream_id": inside["stream_id"], "pos": inside["pos"], "fit_pos": v.fit_pos,
-                        "predicted": predicted, "correct": (predicted == inside["y"].to_numpy()).astype(int),
+                        "pos": inside["pos"].to_numpy(), "fit_pos": v.fit_pos, "predicted": predicted,
+                        "correct": (predicted == inside["y"].to_numpy()).astype(int),
                     }
                 )
             )
-        columns = ["stream_id", "pos", "fit_pos", "predicted", "correct"]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+        out = pd.concat(parts) if parts else pd.DataFrame(columns=["pos", "fit_pos", "predicted", "correct"])
+        out.insert(0, "stream_id", np.full(len(out), key[0], dtype=object))
+        return out
 
     return rows.groupBy("stream_id", "block").cogroup(listed.groupBy("stream_id", "block")).applyInPandas(
         score, f"stream_id {stream_type}, pos long, fit_pos long, predicted int, correct int"

@@ -99,7 +99,7 @@ def stream_profile_scores(days: DataFrame, rho: float, warmup: int, features: li
         state.update((seen, [float(v) for v in held], mean.tolist(), spread.tolist()))
         out = pd.DataFrame(z, columns=names)
         out.insert(0, "day", rows["day"].to_numpy())
-        out.insert(0, "user", key[0])
+        out.insert(0, "user", np.full(len(out), key[0], dtype=object))
         yield out
 
     return days.groupBy("user").applyInPandasWithState(
@@ -175,7 +175,8 @@ def stream_ks_drift(stream: DataFrame, rule: KsRule, width: int) -> DataFrame:
         rows = pd.concat(list(chunks)).drop_duplicates("pos").sort_values("pos")
         alarms = detector.feed(rows["pos"].to_numpy(), np.stack(rows["features"].to_numpy()))
         state.update(detector.state())
-        yield pd.DataFrame({"stream_id": [key[0]] * len(alarms), "alarm_pos": alarms})
+        if alarms:
+            yield pd.DataFrame({"stream_id": [key[0]] * len(alarms), "alarm_pos": alarms})
 
     return stream.groupBy("stream_id").applyInPandasWithState(
         update,
