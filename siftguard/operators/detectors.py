@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftguard.functions.ks import critical_gap, window_gaps
-from siftguard.session import materialize, scratch_path
+from siftguard.operators.running import running
+from siftguard.session import by_group, materialize, scratch_path
 
 
 @dataclass
@@ -191,19 +192,15 @@ class Kswin:
 KINDS = {"adwin": Adwin, "ddm": Ddm, "eddm": Eddm, "kswin": Kswin}
 
 
-def fresh_state(kinds: list[str]) -> str:
-    return json.dumps({k: asdict(KINDS[k]()) for k in kinds})
+def fresh_state(kind: str) -> str:
+    return json.dumps(asdict(KINDS[kind]()))
 
 
-def advance(state: str, positions: np.ndarray, errors: np.ndarray) -> tuple[list[tuple[str, int]], str]:
-    """Feed ordered errors to every detector in the state; alarms and the new state."""
-    detectors = {k: KINDS[k](**fields) for k, fields in json.loads(state).items()}
-    alarms = []
-    for kind, detector in detectors.items():
-        for p, e in zip(positions.tolist(), errors.tolist()):
-            if detector.update(e):
-                alarms.append((kind, p))
-    return alarms, json.dumps({k: asdict(d) for k, d in detectors.items()})
+def advance(kind: str, state: str, positions: np.ndarray, errors: np.ndarray) -> tuple[list[int], str]:
+    """Feed ordered errors to one detector; its alarms and the new state."""
+    detector = KINDS[kind](**json.loads(state))
+    alarms = [p for p, e in zip(positions.tolist(), errors.tolist()) if detector.update(e)]
+    return alarms, json.dumps(asdict(detector))
 
 
 def error_stream_detectors(
@@ -214,10 +211,10 @@ def error_stream_detectors(
 ) -> DataFrame:
     """Alarms (stream_id, kind, alarm_pos) on a correctness trace (stream_id, pos, correct).
 
-    The detectors are sequential per stream. Streams run side by side, and all of them
-    block by block: a task gets one block of a stream and the small state after the
-    block before, so a long stream never meets in one task, and a lost executor costs
-    one block.
+    The detectors are sequential per stream. Streams and detectors run side by side,
+    and all of them block by block: a task gets one block of a stream and the small
+    state after the block before, so a long stream never meets in one task, and a
+    lost executor costs one block.
     """
     spark = trace.sparkSession
     kinds = kinds or list(KINDS)
@@ -226,34 +223,34 @@ def error_stream_detectors(
         "trace",
     )
     stream_type = trace.schema["stream_id"].dataType.simpleString()
-    schema = f"stream_id {stream_type}, kind string, alarm_pos long, state string"
-    alarm_schema = f"stream_id {stream_type}, kind string, alarm_pos long"
-    path = scratch_path(spark, "error-alarms")
-    spark.createDataFrame([], alarm_schema).write.parquet(path)
-    state = rows.select("stream_id").distinct().withColumn("state", F.lit(fresh_state(kinds)))
+    schema = f"stream_id {stream_type}, kind string, alarms array<long>, state string"
+    rounds = scratch_path(spark, "error-rounds")
+    each_kind = F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind")
+    fresh = F.element_at(
+        F.create_map(*[c for k in kinds for c in (F.lit(k), F.lit(fresh_state(k)))]), F.col("kind")
+    )
+    rows.select("stream_id").distinct().select("stream_id", each_kind).select(
+        "stream_id", "kind", F.array().cast("array<bigint>").alias("alarms"), fresh.alias("state")
+    ).write.parquet(f"{rounds}/round=0")
     last = rows.agg(F.max("pos")).first()[0]
     blocks = 0 if last is None else (last - warm) // block + 1
 
     def step(key: tuple, errors: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         errors = errors.sort_values("pos")
-        alarms, after = advance(states["state"].iloc[0], errors["pos"].to_numpy(), errors["error"].to_numpy())
-        out = [(key[0], k, p, None) for k, p in alarms] + [(key[0], None, None, after)]
-        return pd.DataFrame(out, columns=["stream_id", "kind", "alarm_pos", "state"]).astype(
-            {"alarm_pos": "Int64"}
+        alarms, after = advance(
+            key[1], states["state"].iloc[0], errors["pos"].to_numpy(), errors["error"].to_numpy()
         )
+        return pd.DataFrame({"stream_id": [key[0]], "kind": [key[1]], "alarms": [alarms], "state": [after]})
 
+    keys = ("stream_id", "kind")
     for b in range(blocks):
         low = warm + b * block
-        part = rows.filter((F.col("pos") >= low) & (F.col("pos") < low + block))
-        moved = materialize(
-            part.groupBy("stream_id").cogroup(state.groupBy("stream_id")).applyInPandas(step, schema),
-            "detector-round",
-        )
-        moved.filter(F.col("kind").isNotNull()).select("stream_id", "kind", "alarm_pos").write.mode(
-            "append"
-        ).parquet(path)
-        state = moved.filter(F.col("state").isNotNull()).select("stream_id", "state")
-    return spark.read.schema(alarm_schema).parquet(path)
+        part = rows.filter((F.col("pos") >= low) & (F.col("pos") < low + block)).select("*", each_kind)
+        state = spark.read.schema(schema).parquet(f"{rounds}/round={b}")
+        moved = by_group(part, *keys).groupBy(*keys).cogroup(by_group(state, *keys).groupBy(*keys))
+        moved.applyInPandas(step, schema).write.parquet(f"{rounds}/round={b + 1}")
+    every = spark.read.schema(schema).parquet(*[f"{rounds}/round={b}" for b in range(blocks + 1)])
+    return every.select("stream_id", "kind", F.explode("alarms").alias("alarm_pos"))
 
 
 def ddm_first_alarm(trace: DataFrame, warm: int = 30, level: float = 3.0, block: int = 100_000) -> DataFrame:
@@ -262,8 +259,6 @@ def ddm_first_alarm(trace: DataFrame, warm: int = 30, level: float = 3.0, block:
     The minimum of rate + deviation is found as a running maximum of its negative,
     which carries the rate and the deviation along.
     """
-    from siftguard.operators.running import running
-
     bucket = F.floor(F.col("pos") / block)
     counted = running(
         trace, ["stream_id"], bucket, ["pos"],

@@ -10,14 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftguard.functions.ks import critical_gap, window_gaps
 from siftguard.operators.running import quantile_bucket, running
-from siftguard.session import materialize, scratch_path
+from siftguard.session import by_group, materialize, scratch_path
 
 
 def standardize_prefix(stream: DataFrame, warm: int) -> DataFrame:
@@ -203,12 +203,11 @@ def scan_block(
     return alarms, ref_start, ref_size, first, origin
 
 
-_STATE = "ref_start long, ref_size long, next_end long, origin long"
-_STATE_COLUMNS = ["ref_start", "ref_size", "next_end", "origin"]
+_STATE = "last long, horizon long, alarms array<long>, ref_start long, ref_size long, next_end long, origin long"
 
 
 def ks_confirm_detector(
-    stream: DataFrame, rule: KsRule, block_windows: int = 2_000, name: str = "ks"
+    stream: DataFrame, rule: KsRule, block_windows: int = 5_000, name: str = "ks"
 ) -> DataFrame:
     """Alarm positions (stream_id, alarm_pos) of every stream.
 
@@ -216,92 +215,102 @@ def ks_confirm_detector(
     no more alarms come, tests the next blocks of every stream in parallel, accepts
     the first block with alarms and goes on behind it. The number of blocks doubles
     while a stream is quiet: at most twice the needed windows are tested, and a quiet
-    stream of any length ends after a few rounds.
+    stream of any length ends after a few rounds. The state of a round is one small
+    row per stream in the shared folder.
     """
     spark = stream.sparkSession
     rows = materialize(stream.select("stream_id", "pos", "features"), f"{name}-rows")
     limits = critical_gaps(rows, rule)
     span = block_windows * rule.step
-    storage = F.floor(F.col("pos") / span).cast("long")
-    state = rows.groupBy("stream_id").agg((F.max("pos") + 1 - rule.closing).alias("last")).select(
-        "stream_id", "last",
-        F.lit(rule.first_start).cast("long").alias("ref_start"),
-        F.lit(rule.first_size).cast("long").alias("ref_size"),
-        F.lit(rule.first_end).cast("long").alias("next_end"),
-        F.lit(rule.first_end).cast("long").alias("origin"),
-        F.lit(1).cast("long").alias("horizon"),
-    )
+    zero = F.lit(0).cast("long")
     stream_type = stream.schema["stream_id"].dataType.simpleString()
-    alarm_schema = f"stream_id {stream_type}, alarm_pos long"
-    alarm_path = scratch_path(spark, f"{name}-alarms")
-    spark.createDataFrame([], alarm_schema).write.parquet(alarm_path)
-
-    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("pos").sort_values("pos")
-        t = pdf.iloc[0]
-        x = np.stack(pdf["features"].to_numpy())
+    state_schema = f"stream_id {stream_type}, {_STATE}"
+    rounds = scratch_path(spark, f"{name}-rounds")
+    start = {
+        "horizon": 1, "ref_start": rule.first_start, "ref_size": rule.first_size,
+        "next_end": rule.first_end, "origin": rule.first_end,
+    }
+    rows.groupBy("stream_id").agg((F.max("pos") + 1 - rule.closing).alias("last")).withColumns(
+        {**{c: F.lit(v).cast("long") for c, v in start.items()}, "alarms": F.array().cast("array<bigint>")}
+    ).write.parquet(f"{rounds}/round=0")
+
+    def scan(key: tuple, block: pa.Table, tasks: pa.Table) -> pa.Table:
+        pos, x = ordered_rows(block)
+        t = tasks.to_pylist()[0]
         alarms, ref_start, ref_size, next_end, origin = scan_block(
-            pdf["pos"].to_numpy(), x, int(t.first_end), int(t.last_end),
-            int(t.ref_start), int(t.ref_size), int(t.origin), rule, limits,
-        )
-        return pd.DataFrame(
-            {
-                "stream_id": [key[0]], "block": [key[1]], "alarms": [alarms], "ref_start": [ref_start],
-                "ref_size": [ref_size], "next_end": [next_end], "origin": [origin],
-            }
+            pos, x, t["first_end"], t["last_end"], t["ref_start"], t["ref_size"], t["origin"], rule, limits
         )
-
+        row = {
+            "stream_id": t["stream_id"], "block": t["block"], "last": t["last"],
+            "horizon": 1 if alarms else 2 * t["horizon"], "alarms": alarms,
+            "ref_start": ref_start, "ref_size": ref_size, "next_end": next_end, "origin": origin,
+        }
+        return pa.table({c: pa.array([v], pa.list_(pa.int64()) if c == "alarms" else None) for c, v in row.items()})
+
+    done = 0
     while True:
-        state = materialize(state.filter(F.col("next_end") <= F.col("last")), f"{name}-state")
+        state = spark.read.schema(state_schema).parquet(f"{rounds}/round={done}")
+        state = state.filter(F.col("next_end") <= F.col("last")).drop("alarms")
         bounds = state.agg(
             F.count(F.lit(1)),
             F.min(F.least("ref_start", F.col("next_end") - rule.window - (rule.confirm - 1) * rule.step)),
             F.max(F.least("last", F.col("next_end") + F.col("horizon") * span)),
         ).first()
         if not bounds[0]:
-            return spark.read.schema(alarm_schema).parquet(alarm_path)
+            break
         left = F.ceil((F.col("last") - F.col("next_end") + 1) / span).cast("long")
-        tasks = state.withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.least("horizon", left) - 1))
-        )
+        tasks = state.withColumn("block", F.explode(F.sequence(zero, F.least("horizon", left) - 1)))
         first = F.col("next_end") + F.col("block") * span
         tasks = tasks.withColumn("first_end", first).withColumn(
             "last_end", F.least(F.col("last"), first + (span - rule.step))
         )
+        # Earlier windows that tell the current run of signals need rows before the block.
         reach = F.greatest("origin", F.col("first_end") - (rule.confirm - 1) * rule.step) - rule.window
         tasks = tasks.withColumn("low", reach)
         cells = F.array_union(
-            F.sequence(F.floor(F.col("low") / span).cast("long"), F.floor((F.col("last_end") - 1) / span).cast("long")),
-            F.sequence(
-                F.floor(F.col("ref_start") / span).cast("long"),
-                F.floor((F.col("ref_start") + F.col("ref_size") - 1) / span).cast("long"),
-            ),
+            _cells(F.col("low"), F.col("last_end"), span),
+            _cells(F.col("ref_start"), F.col("ref_start") + F.col("ref_size"), span),
+        )
+        placed = tasks.withColumn("cell", F.explode(cells)).select(
+            "stream_id", "cell", "block", "low", "last_end", "ref_start", "ref_size"
+        )
+        near = rows.filter((F.col("pos") >= bounds[1]) & (F.col("pos") < bounds[2])).withColumn(
+            "cell", F.floor(F.col("pos") / span).cast("long")
         )
-        placed = tasks.withColumn("cell", F.explode(cells)).drop("horizon", "last")
-        near = rows.filter((F.col("pos") >= bounds[1]) & (F.col("pos") < bounds[2])).withColumn("cell", storage)
         wanted = ((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("last_end"))) | (
             (F.col("pos") >= F.col("ref_start")) & (F.col("pos") < F.col("ref_start") + F.col("ref_size"))
         )
-        result = (
-            near.join(placed, ["stream_id", "cell"])
-            .filter(wanted)
-            .groupBy("stream_id", "block")
-            .applyInPandas(scan, f"stream_id {stream_type}, block long, alarms array<long>, {_STATE}")
+        needed = near.join(placed, ["stream_id", "cell"]).filter(wanted).select(
+            "stream_id", "block", "pos", "features"
+        )
+        result = _per_block(needed, tasks.select(*[F.col(c).alias(c) for c in tasks.columns]), ["stream_id", "block"]).applyInArrow(
+            scan, f"stream_id {stream_type}, block long, {_STATE}"
         )
         # First block with alarms; else the last one.
         order = F.when(F.size("alarms") > 0, F.col("block")).otherwise(F.lit(2**40) - F.col("block"))
-        chosen = materialize(
-            result.groupBy("stream_id").agg(
-                F.min_by(F.struct("alarms", *_STATE_COLUMNS), order).alias("c")
-            ).select("stream_id", "c.*"),
-            f"{name}-round",
-        )
-        alarms = chosen.select("stream_id", F.explode("alarms").alias("alarm_pos"))
-        alarms.write.mode("append").parquet(alarm_path)
-        horizon = F.when(F.size("alarms") > 0, F.lit(1).cast("long")).otherwise(F.col("horizon") * 2)
-        state = state.select("stream_id", "last", "horizon").join(chosen, "stream_id").select(
-            "stream_id", "last", *_STATE_COLUMNS, horizon.alias("horizon")
-        )
+        columns = [c for c in result.columns if c not in ("stream_id", "block")]
+        chosen = result.groupBy("stream_id").agg(F.min_by(F.struct(*columns), order).alias("c"))
+        done += 1
+        chosen.select("stream_id", "c.*").write.parquet(f"{rounds}/round={done}")
+    every = spark.read.schema(state_schema).parquet(*[f"{rounds}/round={i}" for i in range(done + 1)])
+    return every.select("stream_id", F.explode("alarms").alias("alarm_pos"))
+
+
+def _per_block(rows: DataFrame, parameters: DataFrame, keys: list[str]):
+    """Rows of a block next to its parameters."""
+    return by_group(rows, *keys).groupBy(*keys).cogroup(by_group(parameters, *keys).groupBy(*keys))
+
+
+def ordered_rows(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted positions and the matching feature rows; a position counts once."""
+    pos, first = np.unique(block.column("pos").to_numpy(), return_index=True)
+    flat = block.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return pos, flat.reshape(block.num_rows, -1)[first]
+
+
+def _cells(low: Column, end: Column, span: int) -> Column:
+    """Storage cells that hold the positions ``low <= pos < end``."""
+    return F.sequence(F.floor(low / span).cast("long"), F.floor((end - 1) / span).cast("long"))
 
 
 def window_signals(stream: DataFrame, rule: KsRule, block_windows: int = 2_000) -> DataFrame:
@@ -329,28 +338,25 @@ def window_signals(stream: DataFrame, rule: KsRule, block_windows: int = 2_000)
     placed = stream.select("stream_id", "pos", "features", F.explode(blocks).alias("block"))
     stream_type = stream.schema["stream_id"].dataType.simpleString()
 
-    def test(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=["stream_id", "window_id", "gap", "signal"])
-        if left.empty or right.empty:
-            return empty
-        left = left.sort_values("pos")
-        pos, x = left["pos"].to_numpy(), np.stack(left["features"].to_numpy())
-        ref = np.asarray(right["ref"].iloc[0]).reshape(-1, x.shape[1])
-        low = int(key[1]) * span
-        offsets = np.arange(-(-low // rule.step) * rule.step, low + span, rule.step)
-        ends = rule.first_end + offsets
-        ends = ends[ends <= int(right["last"].iloc[0])]
-        if not len(ends):
-            return empty
-        gaps = np.concatenate(
-            [
-                _gaps(x, ref, ends[c: c + _CHUNK] - pos[0], rule)
-                for c in range(0, len(ends), _CHUNK)
-            ]
-        )
-        return pd.DataFrame(
+    schema = f"stream_id {stream_type}, window_id long, gap long, signal boolean"
+
+    def test(key: tuple, block: pa.Table, references: pa.Table) -> pa.Table:
+        low = key[1].as_py() * span
+        ends = np.zeros(0, dtype=np.int64)
+        if block.num_rows and references.num_rows:
+            r = references.to_pylist()[0]
+            ends = rule.first_end + np.arange(-(-low // rule.step) * rule.step, low + span, rule.step)
+            ends = ends[ends <= r["last"]]
+        gaps = ends
+        if len(ends):
+            pos, x = ordered_rows(block)
+            ref = np.asarray(r["ref"]).reshape(-1, x.shape[1])
+            parts = [ends[c: c + _CHUNK] - pos[0] for c in range(0, len(ends), _CHUNK)]
+            gaps = np.concatenate([_gaps(x, ref, part, rule) for part in parts])
+        stream_ids = pa.repeat(key[0], len(ends))
+        return pa.table(
             {
-                "stream_id": np.full(len(ends), key[0], dtype=object), "window_id": (ends - rule.first_end) // rule.step,
+                "stream_id": stream_ids, "window_id": (ends - rule.first_end) // rule.step,
                 "gap": gaps, "signal": gaps >= limits[rule.first_size],
             }
         )
@@ -361,11 +367,7 @@ def window_signals(stream: DataFrame, rule: KsRule, block_windows: int = 2_000)
         F.col("stream_id").alias("stream_id"), "ref", "last",
         F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("block"),
     )
-    return (
-        placed.groupBy("stream_id", "block")
-        .cogroup(reference_rows.groupBy("stream_id", "block"))
-        .applyInPandas(test, f"stream_id {stream_type}, window_id long, gap long, signal boolean")
-    )
+    return _per_block(placed, reference_rows, ["stream_id", "block"]).applyInArrow(test, schema)
 
 
 def consecutive_signals(signals: DataFrame, block: int = 100_000) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftguard.operators.sampling import hash_of
+from siftguard.session import by_group
 
 
 def standard_scale(
@@ -95,7 +96,7 @@ def isolation_forest_fit(
         out.insert(0, "tree_id", key[0])
         return out
 
-    grown = dealt.groupBy("tree_id").applyInPandas(
+    grown = by_group(dealt, "tree_id").groupBy("tree_id").applyInPandas(
         grow, "tree_id long, node int, feature int, cut double, left int, right int, path double"
     )
     per_tree = grown.groupBy("tree_id").agg(

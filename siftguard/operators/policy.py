@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siftguard.operators.drift import KsRule, exploring_rule, ks_confirm_detector, trailing_rule
 from siftguard.operators.models import MODELS
 from siftguard.operators.running import trailing_mean
-from siftguard.session import materialize
+from siftguard.session import by_group, materialize
 
 _BLOCK = 50_000
 
@@ -105,7 +105,7 @@ def fit_versions(stream: DataFrame, versions: DataFrame, kind: str, block: int =
         return pd.DataFrame({"stream_id": [key[0]], "fit_pos": [key[1]], "model": [flat]})
 
     return (
-        training.select("stream_id", "fit_pos", "pos", "features", "y")
+        by_group(training.select("stream_id", "fit_pos", "pos", "features", "y"), "stream_id", "fit_pos")
         .groupBy("stream_id", "fit_pos")
         .applyInPandas(train, f"stream_id {stream_type}, fit_pos long, model array<double>")
     )
@@ -122,8 +122,9 @@ def score_versions(
     lengths = stream.groupBy("stream_id").agg(F.max("pos").alias("__last"))
     cut = segments.join(models, ["stream_id", "fit_pos"]).join(lengths, "stream_id")
     cut = cut.withColumn("__to", F.least("active_to", "__last")).filter(F.col("active_from") <= F.col("__to"))
+    # Aliased key: both sides of the cogroup come from the same stream.
     listed = cut.select(
-        "stream_id", "fit_pos", "active_from", "model", F.col("__to").alias("active_to"),
+        F.col("stream_id").alias("stream_id"), "fit_pos", "active_from", "model", F.col("__to").alias("active_to"),
         F.explode(
             F.sequence(F.floor(F.col("active_from") / block).cast("long"), F.floor(F.col("__to") / block).cast("long"))
         ).alias("block"),
@@ -153,8 +154,12 @@ def score_versions(
         out.insert(0, "stream_id", np.full(len(out), key[0], dtype=object))
         return out
 
-    return rows.groupBy("stream_id", "block").cogroup(listed.groupBy("stream_id", "block")).applyInPandas(
-        score, f"stream_id {stream_type}, pos long, fit_pos long, predicted int, correct int"
+    keys = ("stream_id", "block")
+    return (
+        by_group(rows, *keys)
+        .groupBy(*keys)
+        .cogroup(by_group(listed, *keys).groupBy(*keys))
+        .applyInPandas(score, f"stream_id {stream_type}, pos long, fit_pos long, predicted int, correct int")
     )
 
 

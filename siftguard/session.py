@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,24 @@ def local_session(cpus: str = "8", app: str = "siftguard") -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    What ``--py-files`` does on submission: the driver serves the archive to executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_siftguard_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # The driver serves the archive for the life of the application.
+    archive = Path(tempfile.mkdtemp(prefix="siftguard-code-")) / "siftguard.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._siftguard_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -82,3 +102,14 @@ def keep_hot(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     wanted = max(1, -(-cached.count() // rows_per_partition))
     return cached.coalesce(wanted) if wanted < cached.rdd.getNumPartitions() else cached
+
+
+def by_group(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition for Python work per group, in a fixed number of tasks.
+
+    Adaptive execution merges small partitions by their bytes; a group's cost in
+    Python is not in its bytes, so the number of tasks is set here.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
