@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftguard.operators.drift import KsRule, exploring_rule, ks_confirm_detector, trailing_rule
 from siftguard.operators.models import MODELS
-from siftguard.operators.running import trailing_mean
+from siftguard.operators.running import running, trailing_mean
 from siftguard.session import by_group, materialize
 
 _BLOCK = 50_000
@@ -53,32 +54,37 @@ def refit_versions(alarms: DataFrame, lengths: DataFrame, delays: tuple[int, ...
     )
 
 
-def policy_for_segment(versions: DataFrame) -> DataFrame:
-    """Closed range of positions per version; a version ends where the next one starts."""
-    # One row per version: versions are at least hundreds of rows apart.
-    order = Window.partitionBy("stream_id").orderBy("active_from")
-    after = F.lead("active_from").over(order)
-    return versions.withColumn("active_to", F.coalesce(after - 1, F.lit(2**62)))
+def policy_for_segment(stream: DataFrame, versions: DataFrame, block: int = _BLOCK) -> DataFrame:
+    """Each row with the ``fit_pos`` of the version that is active at its position.
 
+    An as-of join as a running maximum over rows and version starts together, in
+    blocks of positions: no range join, and no stream in one task.
+    """
+    rows = stream.withColumn("__from", F.lit(None).cast("long")).withColumn("__fit", F.lit(None).cast("long"))
+    starts = versions.select(
+        "stream_id", F.col("active_from").alias("pos"), F.col("active_from").alias("__from"),
+        F.col("fit_pos").alias("__fit"),
+    )
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    latest = running(
+        both, ["stream_id"], F.floor(F.col("pos") / block), ["pos", F.col("__from").asc_nulls_last()],
+        {"__latest": ("max", F.when(F.col("__from").isNotNull(), F.struct("__from", "__fit")))},
+    )
+    known = latest.filter(F.col("__from").isNull() & F.col("__latest").isNotNull())
+    return known.select(*stream.columns, F.col("__latest.__fit").alias("fit_pos"))
 
-def assign_versions(stream: DataFrame, segments: DataFrame, block: int = _BLOCK) -> DataFrame:
-    """Each row with the ``fit_pos`` of the version active at its position.
 
-    Range join by blocks: a segment is listed in every block it touches, a row looks
-    only at its own block.
-    """
-    lengths = stream.groupBy("stream_id").agg(F.max("pos").alias("__last"))
-    cut = segments.join(lengths, "stream_id").withColumn("__to", F.least("active_to", "__last"))
-    listed = cut.filter(F.col("active_from") <= F.col("__to")).select(
-        "stream_id", "fit_pos", "active_from", "__to",
-        F.explode(
-            F.sequence(F.floor(F.col("active_from") / block).cast("long"), F.floor(F.col("__to") / block).cast("long"))
-        ).alias("__block"),
+def versions_by_block(stream: DataFrame, versions: DataFrame, block: int = _BLOCK) -> DataFrame:
+    """For each block of rows: the version active at its start and those that start in it."""
+    blocks = stream.select("stream_id", F.floor(F.col("pos") / block).cast("long").alias("block")).distinct()
+    marks = blocks.select("stream_id", (F.col("block") * block).alias("pos"), "block")
+    at_start = policy_for_segment(marks, versions, block * 1_000).select("stream_id", "block", "fit_pos")
+    inside = versions.select(
+        "stream_id", F.floor(F.col("active_from") / block).cast("long").alias("block"), "fit_pos"
+    )
+    return at_start.unionByName(inside).distinct().join(
+        versions.select("stream_id", "fit_pos", "active_from"), ["stream_id", "fit_pos"]
     )
-    rows = stream.withColumn("__block", F.floor(F.col("pos") / block).cast("long"))
-    joined = rows.join(listed, ["stream_id", "__block"])
-    inside = (F.col("pos") >= F.col("active_from")) & (F.col("pos") <= F.col("__to"))
-    return joined.filter(inside).drop("__block", "active_from", "__to")
 
 
 def fit_versions(stream: DataFrame, versions: DataFrame, kind: str, block: int = _BLOCK) -> DataFrame:
@@ -112,61 +118,53 @@ def fit_versions(stream: DataFrame, versions: DataFrame, kind: str, block: int =
 
 
 def score_versions(
-    stream: DataFrame, segments: DataFrame, models: DataFrame, kind: str, block: int = _BLOCK
+    stream: DataFrame, versions: DataFrame, models: DataFrame, kind: str, block: int = _BLOCK
 ) -> DataFrame:
     """(stream_id, pos, fit_pos, predicted, correct) for every row of an active version.
 
     Rows meet the versions of their block of positions, never those of a whole stream.
     """
     _, predict, width = MODELS[kind]
-    lengths = stream.groupBy("stream_id").agg(F.max("pos").alias("__last"))
-    cut = segments.join(models, ["stream_id", "fit_pos"]).join(lengths, "stream_id")
-    cut = cut.withColumn("__to", F.least("active_to", "__last")).filter(F.col("active_from") <= F.col("__to"))
+    listed = versions_by_block(stream, versions, block).join(models, ["stream_id", "fit_pos"])
     # Aliased key: both sides of the cogroup come from the same stream.
-    listed = cut.select(
-        F.col("stream_id").alias("stream_id"), "fit_pos", "active_from", "model", F.col("__to").alias("active_to"),
-        F.explode(
-            F.sequence(F.floor(F.col("active_from") / block).cast("long"), F.floor(F.col("__to") / block).cast("long"))
-        ).alias("block"),
-    )
+    listed = listed.select(F.col("stream_id").alias("stream_id"), "block", "fit_pos", "active_from", "model")
     rows = stream.select("stream_id", "pos", "features", "y", F.floor(F.col("pos") / block).cast("long").alias("block"))
     stream_type = stream.schema["stream_id"].dataType.simpleString()
 
-    def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        pos = left["pos"].to_numpy()
-        left = left.drop(columns="stream_id")
-        for v in right.itertuples():
-            inside = left[(pos >= v.active_from) & (pos <= v.active_to)]
-            if inside.empty:
-                continue
-            model = np.asarray(v.model, dtype=float).reshape(-1, width)
-            predicted = predict(model, np.stack(inside["features"].to_numpy()))
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "pos": inside["pos"].to_numpy(), "fit_pos": v.fit_pos, "predicted": predicted,
-                        "correct": (predicted == inside["y"].to_numpy()).astype(int),
-                    }
-                )
-            )
-        out = pd.concat(parts) if parts else pd.DataFrame(columns=["pos", "fit_pos", "predicted", "correct"])
-        out.insert(0, "stream_id", np.full(len(out), key[0], dtype=object))
-        return out
+    def score(key: tuple, rows: pa.Table, models: pa.Table) -> pa.Table:
+        known = sorted(models.to_pylist(), key=lambda v: v["active_from"])
+        pos, y = rows.column("pos").to_numpy(), rows.column("y").to_numpy()
+        active = np.searchsorted([v["active_from"] for v in known], pos, side="right") - 1
+        predicted = np.zeros(len(pos), dtype=np.int32)
+        fitted = np.array([v["fit_pos"] for v in known] or [0], dtype=np.int64)[active]
+        if len(pos):
+            x = rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            x = x.reshape(len(pos), -1)
+            for i in np.unique(active[active >= 0]):
+                mine = active == i
+                model = np.asarray(known[i]["model"], dtype=float).reshape(-1, width)
+                predicted[mine] = predict(model, x[mine])
+        out = pa.table(
+            {
+                "stream_id": pa.repeat(key[0], len(pos)), "pos": pos, "fit_pos": fitted,
+                "predicted": predicted, "correct": (predicted == y).astype(np.int32),
+            }
+        )
+        return out.filter(pa.array(active >= 0))
 
     keys = ("stream_id", "block")
     return (
         by_group(rows, *keys)
         .groupBy(*keys)
         .cogroup(by_group(listed, *keys).groupBy(*keys))
-        .applyInPandas(score, f"stream_id {stream_type}, pos long, fit_pos long, predicted int, correct int")
+        .applyInArrow(score, f"stream_id {stream_type}, pos long, fit_pos long, predicted int, correct int")
     )
 
 
 def _evaluate(stream: DataFrame, versions: DataFrame, kind: str) -> DataFrame:
     versions = materialize(versions, "versions")
     models = materialize(fit_versions(stream, versions, kind), "models")
-    return score_versions(stream, policy_for_segment(versions), models, kind)
+    return score_versions(stream, versions, models, kind)
 
 
 def static_policy(stream: DataFrame, warm: int, kind: str = "rules") -> DataFrame:

@@ -97,16 +97,32 @@ def hash_rank(
     return running(df, keys, bucket, [hash_col], {out: ("sum", F.lit(1).cast("long"))})
 
 
-def quantile_bucket(df: DataFrame, column: str, buckets: int = 64, error: float = 0.002) -> Column:
-    """Bucket number along a numeric column; at most ``buckets`` cut points.
+def quantile_bucket(df: DataFrame, column: str, rows_per_bucket: int = 100_000, most: int = 4_096) -> Column:
+    """Bucket number along a numeric column; the number of buckets follows the rows.
 
-    Pre-aggregate on the column first, so that a frequent value is one row.
+    Pre-aggregate on the column first, so that a frequent value is one row. A row is
+    compared with coarse cuts, then with the fine cuts of its range.
     """
-    cuts = sorted(set(df.stat.approxQuantile(column, [i / buckets for i in range(1, buckets)], error)))
+    buckets = min(most, max(8, -(-df.count() // rows_per_bucket)))
+    points = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(df.stat.approxQuantile(column, points, 0.25 / buckets)))
     if not cuts:
         return F.lit(0).cast("long")
-    points = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(points, lambda p: p < F.col(column))).cast("long")
+    fan = 64
+    groups = [cuts[i: i + fan] for i in range(0, len(cuts), fan)]
+
+    def below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda p: p < F.col(column)))
+
+    def literal(values: list[float]) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    if len(groups) == 1:
+        return below(literal(cuts)).cast("long")
+    # The group whose last cut is not below the value; the last group takes the rest.
+    group = F.least(below(literal([g[-1] for g in groups])), F.lit(len(groups) - 1))
+    fine = F.array(*[literal(g) for g in groups])[group]
+    return (group * fan + below(fine)).cast("long")
 
 
 def trailing_mean(

@@ -343,8 +343,8 @@ def policy_for_segment(spark, sf_dir):
     alarms = change_points(stream).select("stream_id", F.col("cp_pos").alias("alarm_pos"))
     lengths = stream.groupBy("stream_id").agg((F.max("pos") + 1).alias("__n"))
     later = policy.refit_versions(alarms, lengths, (0,), 300)
-    segments = policy.policy_for_segment(policy.first_versions(stream, WARM).unionByName(later))
-    return policy.assign_versions(stream, segments).select("stream_id", "pos", "fit_pos")
+    versions = policy.first_versions(stream, WARM).unionByName(later)
+    return policy.policy_for_segment(stream.select("stream_id", "pos"), versions)
 
 
 def _policy_summary(scored: DataFrame) -> DataFrame:

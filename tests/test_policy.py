@@ -43,13 +43,15 @@ def test_assignment_to_versions(stream, block):
     assert sorted((r.stream_id, r.fit_pos, r.train_from) for r in later.collect()) == [
         ("a", 701, 451), ("a", 1000, 750), ("a", 1301, 1051), ("a", 1600, 1350)
     ]
-    segments = policy.policy_for_segment(policy.first_versions(df, 300).unionByName(later))
-    got = {(r.stream_id, r.pos): r.fit_pos for r in policy.assign_versions(df, segments, block).collect()}
+    versions = policy.first_versions(df, 300).unionByName(later)
+    got = {(r.stream_id, r.pos): r.fit_pos for r in policy.policy_for_segment(df, versions, block).collect()}
     fits = {"a": [701, 1000, 1301, 1600], "b": []}
     want = {
         (s, p): max([0] + [f for f in fits[s] if f < p]) for s in data for p in range(300, len(data[s][1]))
     }
     assert got == want
+    listed = {(r.stream_id, r.block, r.fit_pos) for r in policy.versions_by_block(df, versions, block).collect()}
+    assert {(s, p // block, f) for (s, p), f in want.items()} <= listed
 
 
 @pytest.mark.parametrize("block", [170, 50_000])
@@ -57,7 +59,7 @@ def test_scores_against_plain_loop(stream, block):
     data, df = stream
     versions = policy.first_versions(df, 300)
     models = policy.fit_versions(df, versions, "tree", block)
-    got = policy.score_versions(df, policy.policy_for_segment(versions), models, "tree", block).collect()
+    got = policy.score_versions(df, versions, models, "tree", block).collect()
     assert len(got) == sum(len(y) - 300 for _, y in data.values())
     for s, (x, y) in data.items():
         right = predict_tree(np.array(fit_tree(x[:300], y[:300])), x[300:]) == y[300:]

@@ -65,8 +65,11 @@ def test_trailing_mean(skewed, window, block):
     assert len(got) == len(rows)
 
 
-def test_quantile_bucket_follows_the_order(spark):
-    df = spark.range(1000).select((F.col("id") % 97).cast("double").alias("x"))
-    got = df.select("x", quantile_bucket(df, "x", 8).alias("b")).distinct().orderBy("x").collect()
-    assert [r.b for r in got] == sorted(r.b for r in got)
-    assert len({r.b for r in got}) > 4
+@pytest.mark.parametrize("rows_per_bucket,least", [(100, 8), (4, 200)])
+def test_quantile_bucket_follows_the_order(spark, rows_per_bucket, least):
+    df = spark.range(997).select((F.col("id") * 37 % 997).cast("double").alias("x"))
+    bucket = quantile_bucket(df, "x", rows_per_bucket)
+    got = [r.b for r in df.select("x", bucket.alias("b")).orderBy("x").collect()]
+    assert got == sorted(got)
+    assert len(set(got)) >= least
+    assert max(got.count(b) for b in set(got)) <= 4 * max(rows_per_bucket, 997 / 8)
