@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _FOLD = {"sum": F.sum, "max": F.max}
-_EARLIER = (Window.unboundedPreceding, -1)
 
 
 def _combine(fn: str, a: Column, b: Column) -> Column:
@@ -20,53 +19,36 @@ def _combine(fn: str, a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
 
-def _carried(totals: DataFrame, keys: list[str], folds: dict[str, str], fan: int) -> DataFrame:
-    """Fold of all earlier buckets, in two levels of at most ``fan`` buckets each."""
-    totals = totals.withColumn("__group", F.floor(F.col("__bucket") / F.lit(fan)).cast("long"))
-    outer = Window.partitionBy(*keys).orderBy("__group").rowsBetween(*_EARLIER)
-    inner = Window.partitionBy(*keys, "__group").orderBy("__bucket").rowsBetween(*_EARLIER)
-    groups = (
-        totals.groupBy(*keys, "__group")
-        .agg(*[_FOLD[fn](c).alias(c) for c, fn in folds.items()])
-        .select(*keys, "__group", *[_FOLD[fn](c).over(outer).alias(f"{c}_g") for c, fn in folds.items()])
-    )
-    return (
-        totals.select(
-            *keys, "__bucket", "__group", *[_FOLD[fn](c).over(inner).alias(c) for c, fn in folds.items()]
-        )
-        .join(groups, [*keys, "__group"])
-        .select(
-            *keys, "__bucket",
-            *[_combine(fn, F.col(c), F.col(f"{c}_g")).alias(f"{c}_before") for c, fn in folds.items()],
-        )
-    )
-
-
 def running(
     df: DataFrame,
     keys: list[str],
     bucket: Column,
     order: list,
     folds: dict[str, tuple[str, Column]],
-    fan: int = 10_000,
 ) -> DataFrame:
     """Inclusive running folds per key along ``order``.
 
     ``bucket`` must be a whole number that never falls along the order, with a
     bounded number of rows per key and bucket. ``folds`` maps an output column to
-    ("sum" or "max", value column).
+    ("sum" or "max", value column). The input is read twice, for the bucket totals and
+    for the rows: cache or write it first if it is expensive.
     """
     kinds = {name: fn for name, (fn, _) in folds.items()}
     tagged = df.select(
         "*", bucket.cast("long").alias("__bucket"), *[col.alias(name) for name, (_, col) in folds.items()]
     )
     totals = tagged.groupBy(*keys, "__bucket").agg(*[_FOLD[fn](c).alias(c) for c, fn in kinds.items()])
+    # One row per bucket: a hundred-thousandth of the rows with the default widths.
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *keys, "__bucket", *[_FOLD[fn](c).over(earlier).alias(f"{c}_before") for c, fn in kinds.items()]
+    )
     local = (
         Window.partitionBy(*keys, "__bucket")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    windowed = tagged.join(_carried(totals, keys, kinds, fan), [*keys, "__bucket"]).select(
+    windowed = tagged.join(before, [*keys, "__bucket"]).select(
         *df.columns,
         *[F.col(f"{c}_before") for c in kinds],
         *[_FOLD[fn](c).over(local).alias(c) for c, fn in kinds.items()],

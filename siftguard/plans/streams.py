@@ -282,7 +282,7 @@ pr AS (SELECT *, coalesce(true_alarms / nullif(n_alarms, 0), 0.0) AS precision,
     ),
 )
 def score_alarms(spark, sf_dir):
-    stream = event_stream(spark, sf_dir).persist()
+    stream = event_stream(spark, sf_dir)
     alarms = stream.filter((F.col("pos") > 0) & (F.col("pos") % 170 == 0)).select(
         "stream_id", F.col("pos").alias("alarm_pos")
     )
@@ -339,7 +339,7 @@ def prequential_accuracy(spark, sf_dir):
 )
 def policy_for_segment(spark, sf_dir):
     """The version active at each row, if a new one were fitted at every change point."""
-    stream = event_stream(spark, sf_dir).persist()
+    stream = event_stream(spark, sf_dir)
     alarms = change_points(stream).select("stream_id", F.col("cp_pos").alias("alarm_pos"))
     lengths = stream.groupBy("stream_id").agg((F.max("pos") + 1).alias("__n"))
     later = policy.refit_versions(alarms, lengths, (0,), 300)
@@ -356,17 +356,17 @@ def _policy_summary(scored: DataFrame) -> DataFrame:
 
 @query("static_policy")
 def static_policy(spark, sf_dir):
-    return _policy_summary(policy.static_policy(event_stream(spark, sf_dir).persist(), WARM))
+    return _policy_summary(policy.static_policy(event_stream(spark, sf_dir), WARM))
 
 
 @query("adaptive_rule_policy")
 def adaptive_rule_policy(spark, sf_dir):
-    return _policy_summary(policy.adaptive_rule_policy(event_stream(spark, sf_dir).persist(), WARM))
+    return _policy_summary(policy.adaptive_rule_policy(event_stream(spark, sf_dir), WARM))
 
 
 @query("adaptive_tree_policy")
 def adaptive_tree_policy(spark, sf_dir):
-    stream = event_stream(spark, sf_dir).persist()
+    stream = event_stream(spark, sf_dir)
     return _policy_summary(policy.adaptive_tree_policy(stream, WARM, window=200, refit_rows=600))
 
 
