@@ -59,14 +59,17 @@ def running(
 
 
 def stream_positions(
-    df: DataFrame, stream: str, order_id: str, width: int = 100_000, out: str = "pos"
+    df: DataFrame, stream: str, order_id: str, width: int = 100_000, out: str = "pos", ties: tuple[str, ...] = ()
 ) -> DataFrame:
-    """0-based position of each row in its stream, by a unique whole-number id.
+    """0-based position of each row in its stream, by a whole-number id.
 
-    A bucket of ``width`` ids holds at most ``width`` rows, whatever the skew.
+    A bucket of ``width`` unique ids holds at most ``width`` rows, whatever the skew.
+    If an id can repeat, ``ties`` must name the columns that settle the order;
+    otherwise positions could differ between runs.
     """
     ranked = running(
-        df, [stream], F.floor(F.col(order_id) / F.lit(width)), [order_id], {out: ("sum", F.lit(1).cast("long"))}
+        df, [stream], F.floor(F.col(order_id) / F.lit(width)), [order_id, *ties],
+        {out: ("sum", F.lit(1).cast("long"))},
     )
     return ranked.withColumn(out, F.col(out) - 1)
 

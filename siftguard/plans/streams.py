@@ -188,15 +188,26 @@ def ks_confirm_detector(spark, sf_dir):
     return drift.ks_confirm_detector(event_stream(spark, sf_dir), RULE)
 
 
-@query("ks_detector_single_stream")
-def ks_detector_single_stream(spark, sf_dir):
-    """All line items as one stream, with and without confirmation."""
+# Line numbers repeat within an order; these columns settle the order of the rows.
+_LINE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+
+
+def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items in order key, line number order, as one stream."""
     rows = table(spark, sf_dir, "lineitem").select(
         F.lit("lineitem").alias("stream_id"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
+        *_LINE_ORDER,
         F.array("l_quantity", "l_extendedprice", "l_discount").alias("features"),
     )
-    stream = materialize(stream_positions(rows, "stream_id", "row_id").drop("row_id"), "lineitem-stream")
+    placed = stream_positions(rows, "stream_id", "row_id", ties=_LINE_ORDER)
+    return placed.select("stream_id", "pos", "features")
+
+
+@query("ks_detector_single_stream")
+def ks_detector_single_stream(spark, sf_dir):
+    """All line items as one stream, with and without confirmation."""
+    stream = materialize(lineitem_stream(spark, sf_dir), "lineitem-stream")
     out = None
     for confirm in (1, 3):
         alarms = drift.ks_confirm_detector(stream, drift.confirmed_rule(confirm=confirm))

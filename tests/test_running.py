@@ -73,3 +73,12 @@ def test_quantile_bucket_follows_the_order(spark, rows_per_bucket, least):
     assert got == sorted(got)
     assert len(set(got)) >= least
     assert max(got.count(b) for b in set(got)) <= 4 * max(rows_per_bucket, 997 / 8)
+
+
+def test_ties_settle_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    rows = [("s", int(i), int(v)) for i, v in zip(rng.integers(0, 40, 200), rng.permutation(200))]
+    df = spark.createDataFrame(rows, "key string, id long, v int")
+    got = stream_positions(df, "key", "id", 7, ties=("v",)).orderBy("pos").collect()
+    assert [(r.id, r.v) for r in got] == sorted((i, v) for _, i, v in rows)
+    assert [r.pos for r in got] == list(range(200))
