@@ -5,20 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftguard.llm.decontaminate import find_benchmark
+from siftguard.llm.host_quality import judge
 from siftguard.llm.jaccard import ngram_jaccard
+from siftguard.llm.mixing import mix_sources
+from siftguard.llm.sharding import shard_rows
 from siftguard.session import materialize, ship_package
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with one of the ids; doc_id identifies a document."""
+    return docs.join(ids.distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def passing_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules and their host's record let pass."""
+    ship_package(spark)
+    return _keep(docs, judge(docs).filter("kept").select("doc_id"))
+
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by their word shingles the one with the smallest id stays."""
+    """Of documents that link by five-word shingles at 0.8 the one with the smallest id."""
+    ship_package(spark)
+    leaders = ngram_jaccard(docs, n=5, num=80, den=100).filter("component_id = doc_id")
+    return _keep(docs, leaders.select("doc_id")).dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    ship_package(spark)
+    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _keep(docs, found.filter("not contaminated").select("doc_id"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document of which blocks are taken stands as often as it is taken on average, once at least."""
+    ship_package(spark)
+    taken = mix_sources(docs).filter("taken > 0").select(
+        "doc_id", F.greatest(F.round(F.col("taken") / F.col("size")), F.lit(1)).cast("int").alias("__times")
+    )
+    return docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+
+
+def placed_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of the mix."""
     ship_package(spark)
-    leaders = ngram_jaccard(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(leaders, "doc_id", "left_semi").select(docs.columns)
+    return shard_rows(docs)
 
 
-STAGES = [("n-gram Jaccard join", one_of_each_group)]
+STAGES = [
+    ("quality rules", passing_quality_rules),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", free_of_benchmarks),
+    ("mixing sources to target weights", mixed_sources),
+    ("sharding", placed_in_shards),
+]
 
-# Stages after the first cannot be written in SQL.
+# The ring walk of the last stage cannot be written in SQL; a brute-force version checks the rows.
 ORACLE_SQL = None
 
 

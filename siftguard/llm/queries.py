@@ -7,7 +7,16 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftguard.llm.decontaminate import find_benchmark
+from siftguard.llm.host_quality import judge
 from siftguard.llm.jaccard import ngram_jaccard
+from siftguard.llm.licenses import scan_licenses, scan_sql
+from siftguard.llm.lines import drop_common_lines
+from siftguard.llm.mixing import mix_sources
+from siftguard.llm.quality_classifier import score_quality
+from siftguard.llm.sharding import shard_rows
+from siftguard.llm.substrings import remove_repeats
+from siftguard.llm.toxicity import score_toxicity
 from siftguard.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +66,133 @@ FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
+@query("op6_line_dedup", rf"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line FROM s, unnest(range(1, len(ls) + 1)) t(i)),
+k AS (
+  SELECT doc_id, i, line, {LOWER_SQL.replace("coalesce(text, '')", "regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key
+  FROM l),
+c AS (SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 20
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT doc_id, i, line, coalesce(doc_id < largest, false) AS dropped FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_common_lines(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ALNUM_SQL = rf"regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op7_benchmark_decontamination", rf"""
+WITH it AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {ALNUM_SQL} AS ws FROM benchmark),
+im AS (SELECT item_id, ws, least(len(ws), 10) AS m FROM it WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS key
+       FROM im, unnest(range(1, len(ws) - m + 2)) t(i)),
+ms AS (SELECT DISTINCT m FROM iw),
+d AS (SELECT doc_id, {ALNUM_SQL} AS ws FROM documents),
+dw AS (SELECT doc_id, i, m, array_to_string(ws[i:i + m - 1], ' ') AS key
+       FROM d, ms, unnest(range(1, len(ws) - m + 2)) t(i)),
+h AS (SELECT doc_id, i, m, item_id FROM dw JOIN iw USING (m, key)),
+hw AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, unnest(range(i, i + m)) t(j) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+       FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+WORDS_SQL = r"[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
+
+
+@query("op10_substring_dedup", rf"""
+WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS key FROM w, unnest(range(1, len(ws) - 48)) t(i)),
+lows AS (SELECT key, min(doc_id) AS low FROM win GROUP BY key),
+hit AS (SELECT doc_id, i FROM win JOIN lows USING (key) WHERE low < doc_id),
+j AS (SELECT w.doc_id, t.i, ws[t.i] AS word FROM w, unnest(range(1, len(ws) + 1)) t(i)),
+m AS (SELECT j.doc_id, j.i, word,
+        max(CASE WHEN hit.i IS NULL THEN 0 ELSE 1 END)
+          OVER (PARTITION BY j.doc_id ORDER BY j.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+      FROM j LEFT JOIN hit ON hit.doc_id = j.doc_id AND hit.i = j.i),
+r AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM m GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))[0]
+
+
+@query("op2_license_scan", scan_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _prior(name: str) -> str:
+    return f"""(SELECT least(greatest(CASE WHEN b > 0 THEN c / b - 1 ELSE 1e6 END, 1.0), 1e6) FROM (
+      SELECT m * (1 - m) AS c, v / t - m * (1 - m) * hosts / t AS b FROM (
+        SELECT any_value(m) AS m, sum(n * pow(f_{name} / n - m, 2.0)) AS v, sum(n) AS t, count(*) AS hosts
+        FROM h, (SELECT sum(f_{name}) / sum(n) AS m FROM h))))"""
+
+
+RULES_SQL = {
+    "short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words", "symbols": "10 * n_symbols > 3 * n_words",
+    "dup_lines": "2 * n_dup_lines > n_lines", "word_length": "(word_chars < 2 * n_words OR word_chars > 15 * n_words)",
+}
+ALL_SQL = {**RULES_SQL, "any": "(" + " OR ".join(RULES_SQL.values()) + ")"}
+
+
+@query("op4_quality_rules", rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS_SQL} AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS key FROM w, unnest(range(1, len(ws) - 1)) t(i)),
+gg AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS c FROM g),
+rw AS (SELECT doc_id, count(DISTINCT j) AS n FROM gg, unnest(range(i, i + 3)) t(j) WHERE c > 1 GROUP BY doc_id),
+ln AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+       WHERE regexp_matches(line, '[^ 	-]')),
+nl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN nl USING (doc_id) LEFT JOIN rw USING (doc_id)),
+h AS (SELECT source, count(*) AS n, {", ".join(f"sum(CASE WHEN {r} THEN 1 ELSE 0 END) AS f_{x}" for x, r in ALL_SQL.items())}
+      FROM m GROUP BY source),
+p AS (SELECT {", ".join(f"(SELECT sum(f_{x}) / sum(n) FROM h) AS m_{x}, {_prior(x)} AS s_{x}" for x in ALL_SQL)}),
+r AS (SELECT source, {", ".join(f"(f_{x} + m_{x} * s_{x}) / (n + s_{x}) AS rate_{x}" for x in ALL_SQL)} FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       ({RULES_SQL["short"]} OR {RULES_SQL["repeats"]}) AS base_failed,
+       NOT ({RULES_SQL["short"]} OR {RULES_SQL["repeats"]}) AND rate_any < 0.5
+         AND NOT ({" OR ".join(f"({x} AND rate_{n} >= 0.02)" for n, x in RULES_SQL.items())}) AS kept
+FROM m JOIN r ON m.source IS NOT DISTINCT FROM r.source
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+@query("op5_source_mix")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op8_sharding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

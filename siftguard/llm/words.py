@@ -150,3 +150,31 @@ def _inverse_powers(n: int) -> np.ndarray:
 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Arrow lists of longs out of flat values and len + 1 bounds."""
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def span_hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the codes from begin up to end, for many spans."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers(len(codes)), out=sums[1:])
+    inverse = _inverse_powers(len(codes) + 1)
+    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of every ``width`` neighbouring values, by doubling."""
+    if len(values) < width:
+        return values[:0]
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
+def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
+    """Which of n positions lie in a run of ``width`` that begins at one of ``starts``."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + width, -1)
+    return np.cumsum(edges[:n]) > 0
