@@ -58,7 +58,7 @@ def _buckets(piece: Piece) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets of each labelled document with their shares of its n-grams."""
     for batch in batches:
-        for piece in pieces(batch.column(0), size=200_000):
+        for piece in pieces(batch.column(1), size=200_000):
             parts = list(_buckets(piece))
             keys = np.concatenate([doc << BUCKET_BITS | bucket for bucket, doc in parts])
             again = _again(piece, piece.hashes()) * AGAIN_WEIGHT
