@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftguard.operators.running import percentiles
 from siftguard.operators.sampling import hash_of
 from siftguard.session import by_group
 
@@ -223,19 +224,19 @@ def global_user_scores(scored: DataFrame, split_day: int, user: str = "user") ->
 
 
 def outlier_alarms(
-    scored: DataFrame, split_day: int, least_share: float = 0.005, exact: bool = True
+    scored: DataFrame, split_day: int, least_share: float = 0.005
 ) -> DataFrame:
     """Day-level alarms: the cut lets the train share of malicious days pass.
 
     The share is ``max(train rate, least_share)`` and the cut the matching quantile of
-    the training scores. ``exact=False`` takes it from a sketch.
+    the training scores, which is exact.
     """
     train = scored.filter(F.col("day") < split_day)
     # Two numbers on the driver: the share, then the cut.
     rate = train.agg(F.avg("label")).first()[0] or 0.0
     point = 1.0 - max(rate, least_share)
-    cut = F.percentile("outlier", point) if exact else F.percentile_approx("outlier", point, 10_000)
-    limit = train.agg(cut).first()[0]
+    cuts = percentiles(train.select("outlier"), [], "outlier", [point]).first()
+    limit = cuts[0][0] if cuts else None
     return scored.filter(F.col("day") >= split_day).withColumn(
         "alarm", (F.col("outlier") > F.lit(limit)).cast("int")
     )

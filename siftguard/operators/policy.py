@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siftguard.operators.drift import KsRule, exploring_rule, ks_confirm_detector, trailing_rule
 from siftguard.operators.models import MODELS
 from siftguard.operators.running import running, trailing_mean
-from siftguard.session import by_group, materialize
+from siftguard.session import by_group, materialize, scratch_path
 
 _BLOCK = 50_000
 
@@ -204,20 +204,26 @@ def adaptive_tree_policy(
 
 
 def incremental_policy(
-    stream: DataFrame, warm: int, blocks: int = 16, rate: float = 1.0, warm_steps: int = 8
+    stream: DataFrame, warm: int, block_rows: int = 1_000, rate: float = 1.0, warm_steps: int = 8
 ) -> DataFrame:
-    """Logistic model updated after every block; a block is scored before it is learnt.
+    """Logistic model updated after every ``block_rows`` rows; a block is scored before it is learnt.
 
-    One against the rest for several classes. Blocks are shares of the longest stream,
-    so the number of rounds does not grow with the data. The gradient of a block is
-    one aggregate with map-side sums; only the weights are carried over.
+    One against the rest for several classes. Blocks are counted per stream, so a stream's
+    result does not depend on others; the rounds follow the longest stream. Rows are stored
+    by block, and a round reads its own. The gradient of a block is one aggregate with
+    map-side sums; only the weights are carried over.
     """
-    rows = materialize(
-        stream.select("stream_id", "pos", "y", F.concat(F.array(F.lit(1.0)), "features").alias("x")), "incremental"
-    )
+    spark = stream.sparkSession
+    path = scratch_path(spark, "incremental")
+    block = F.greatest(F.floor((F.col("pos") - warm) / block_rows), F.lit(-1)).cast("long")
+    stream.select(
+        "stream_id", "pos", "y", F.concat(F.array(F.lit(1.0)), "features").alias("x"), block.alias("block")
+    ).repartition("block", "stream_id").write.partitionBy("block").parquet(path)
+    stored = stream.select("stream_id", "pos", "y", F.col("features").alias("x"), F.lit(0).cast("long").alias("block")).schema
+    rows = spark.read.schema(stored).parquet(path)
     shape = rows.agg(F.max("pos"), F.max("y"), F.max(F.size("x"))).first()
     last, classes, width = shape[0], shape[1] + 1, shape[2]
-    size = max(1, -(-(last + 1 - warm) // blocks))
+    blocks = max(1, -(-(last + 1 - warm) // block_rows))
     stream_type = stream.schema["stream_id"].dataType.simpleString()
     weights = materialize(
         rows.select("stream_id").distinct().withColumn(
@@ -248,13 +254,12 @@ def incremental_policy(
             "weights",
         )
 
-    prefix = rows.filter(F.col("pos") < warm)
+    prefix = rows.filter(F.col("block") == -1)
     for _ in range(warm_steps):
         weights = learn(prefix)
     out = None
     for b in range(blocks):
-        low = warm + b * size
-        part = rows.filter((F.col("pos") >= low) & (F.col("pos") < low + size))
+        part = rows.filter(F.col("block") == b)
         best = (F.array_position("score", F.array_max("score")) - 1).cast("int")
         scored = margins(part).select("stream_id", "pos", best.alias("predicted"), "y").select(
             "stream_id", "pos", "predicted", (F.col("predicted") == F.col("y")).cast("int").alias("correct")

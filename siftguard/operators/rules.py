@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftguard.operators.metrics import f1_column
+from siftguard.operators.running import percentiles
 
 Condition = tuple[str, int, float]
 Rule = list[Condition]
@@ -29,9 +30,14 @@ RULE_SCHEMA = "set_id int, rule_id int, cond_id int, feature string, op int, thr
 
 
 def fires(rule: Rule) -> Column:
-    """AND of strict comparisons; a rule without conditions always fires."""
-    parts = [F.col(f) > F.lit(float(t)) if op > 0 else F.col(f) < F.lit(float(t)) for f, op, t in rule]
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
+    """AND of strict comparisons; a rule without conditions always fires.
+
+    A missing value, NULL or NaN, meets no condition.
+    """
+    parts = [
+        (F.col(f) > F.lit(float(t))) & ~F.isnan(f) if op > 0 else F.col(f) < F.lit(float(t)) for f, op, t in rule
+    ]
+    return F.coalesce(reduce(lambda a, b: a & b, parts, F.lit(True)), F.lit(False))
 
 
 def decides(rules: RuleSet) -> Column:
@@ -166,8 +172,10 @@ def score_rule_sets(
 ) -> DataFrame:
     """Fitness ``F1 - lam * complexity`` of many candidate sets in one pass.
 
-    Each task keeps three counters per candidate; only these are shuffled.
+    Each task keeps three counters per candidate; only these are shuffled. Rows without a
+    label are left out; a missing feature meets no condition.
     """
+    df = df.filter(F.col(label).isNotNull())
     counter = _counts_by_expression if len(sets) <= EXPRESSION_LIMIT else _counts_by_batch
     costs = [lam * complexity(r, max_rules, max_conds) for r in sets]
     penalty = F.element_at(F.array(*[F.lit(float(c)) for c in costs]), F.col("set_id") + 1)
@@ -198,6 +206,7 @@ def class_statistics(df: DataFrame, label: str, features: list[str]) -> DataFram
                 F.avg(F.when(y == 1, F.col(f))).alias("mean_pos"),
                 F.avg(F.when(y == 0, F.col(f))).alias("mean_neg"),
                 F.stddev_pop(f).alias("std"),
+                F.percentile_approx(f, 0.5, 10_000).alias("median"),
                 F.min(f).alias("lowest"),
                 F.max(f).alias("highest"),
             )
@@ -226,45 +235,35 @@ def midpoint_rules(separation: DataFrame) -> DataFrame:
     )
 
 
-def threshold_candidates(
-    df: DataFrame,
-    label: str,
-    features: list[str],
-    covered: Column | None = None,
-    exact: bool = True,
-) -> DataFrame:
-    """Conditions to try on positives that no rule covers yet, in one pass.
+def threshold_candidates(df: DataFrame, label: str, features: list[str], covered: Column | None = None) -> DataFrame:
+    """Conditions to try on positives that no rule covers yet.
 
     Per feature: the midpoint of uncovered positives and negatives, and the 10th,
     25th and 50th percentile of the uncovered positives, moved by 1e-9 so that
-    the strict comparison keeps the percentile itself. ``exact=False`` uses
-    sketches for large tables.
+    the strict comparison keeps the percentile itself. Percentiles are exact: values are
+    counted per feature, and the two values around each rank are interpolated.
     """
     y = F.col(label)
     open_pos = (y == 1) & ~(covered if covered is not None else F.lit(False))
-    points = [0.1, 0.25, 0.5]
-    aggs = []
+    means = []
     for f in features:
-        values = F.when(open_pos, F.col(f))
-        arr = F.array(*[F.lit(p) for p in points])
-        cuts = F.percentile(values, arr) if exact else F.percentile_approx(values, arr, 10_000)
-        aggs.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.avg(values).alias("m1"),
-                F.avg(F.when(y == 0, F.col(f))).alias("m0"),
-                cuts.alias("cuts"),
-            )
-        )
-    one = df.agg(F.count_if(open_pos).alias("open_positives"), F.array(*aggs).alias("s"))
+        means.append(F.struct(
+            F.lit(f).alias("feature"), F.avg(F.when(open_pos, F.col(f))).alias("m1"), F.avg(F.when(y == 0, F.col(f))).alias("m0"),
+        ))
+    one = df.agg(F.count_if(open_pos).alias("open_positives"), F.array(*means).alias("s"))
     one = one.select("open_positives", F.explode("s").alias("s")).select("open_positives", "s.*")
+    values = df.filter(open_pos).select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features
+    ])).alias("x")).select("x.*").filter("v is not null")
+    points = {"p10": 0.1, "p25": 0.25, "p50": 0.5}
+    cuts = percentiles(values, ["feature"], "v", list(points.values()))
+    joined = one.join(cuts, "feature", "left")
     op = F.when(F.col("m1") > F.col("m0"), 1).otherwise(-1)
-    thresholds = F.concat(
-        F.array((F.col("m1") + F.col("m0")) / 2),
-        F.transform("cuts", lambda c: c - F.lit(1e-9) * op),
+    thresholds = F.array(
+        (F.col("m1") + F.col("m0")) / 2, *[F.col("cuts")[i] - F.lit(1e-9) * op for i in range(len(points))]
     )
-    kinds = F.array(*[F.lit(k) for k in ("midpoint", "p10", "p25", "p50")])
-    return one.select(
+    kinds = F.array(*[F.lit(k) for k in ("midpoint", *points)])
+    return joined.select(
         "open_positives", "feature", op.alias("op"),
         F.explode(F.arrays_zip(kinds.alias("kind"), thresholds.alias("thr"))).alias("c"),
     ).select("feature", "op", "c.kind", "c.thr", "open_positives")

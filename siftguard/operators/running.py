@@ -7,9 +7,13 @@ small table, and only rows of one bucket meet in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftguard.session import materialize
+
 _FOLD = {"sum": F.sum, "max": F.max}
 
 
@@ -48,7 +52,10 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    windowed = tagged.join(before, [*keys, "__bucket"]).select(
+    # Null-safe: a missing key or bucket is one like any other.
+    sums = before.select(*[F.col(c).alias(f"__of_{c}") for c in (*keys, "__bucket")], *[f"{c}_before" for c in kinds])
+    met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*keys, "__bucket")])
+    windowed = tagged.join(sums, met).select(
         *df.columns,
         *[F.col(f"{c}_before") for c in kinds],
         *[_FOLD[fn](c).over(local).alias(c) for c, fn in kinds.items()],
@@ -63,32 +70,43 @@ def stream_positions(
 ) -> DataFrame:
     """0-based position of each row in its stream, by a whole-number id.
 
-    A bucket of ``width`` unique ids holds at most ``width`` rows, whatever the skew.
-    If an id can repeat, ``ties`` must name the columns that settle the order;
-    otherwise positions could differ between runs.
+    A bucket of ``width`` unique ids holds at most ``width`` rows, whatever the skew. Where
+    ids are sparse, buckets are cut at quantiles instead, so that they hold rows as well; the
+    range of the ids is looked up when this is called. If an id can repeat, ``ties`` must name
+    the columns that settle the order; otherwise positions could differ between runs.
     """
-    ranked = running(
-        df, [stream], F.floor(F.col(order_id) / F.lit(width)), [order_id, *ties],
-        {out: ("sum", F.lit(1).cast("long"))},
-    )
+    n, low, high = df.agg(F.count(order_id), F.min(order_id), F.max(order_id)).first()
+    bucket = F.floor(F.col(order_id) / F.lit(width))
+    if n and high - low > 8 * max(n, width):
+        bucket = quantile_bucket(df, order_id, width)
+    ranked = running(df, [stream], bucket, [order_id, *ties], {out: ("sum", F.lit(1).cast("long"))})
     return ranked.withColumn(out, F.col(out) - 1)
 
 
 def hash_rank(
-    df: DataFrame, keys: list[str], hash_col: str, prefix: int = 3, out: str = "rank"
+    df: DataFrame, keys: list[str], hash_col: str, prefix: int | None = None, out: str = "rank",
+    rows_per_bucket: int = 25_000,
 ) -> DataFrame:
-    """1-based rank by a hexadecimal hash, bucketed by its first ``prefix`` digits."""
+    """1-based rank by a hexadecimal hash, bucketed by its first ``prefix`` digits.
+
+    Without a prefix the rows are counted at once, and the number of digits follows them.
+    """
+    if prefix is None:
+        wanted, prefix = -(-df.count() // rows_per_bucket), 1
+        while 16**prefix < wanted:
+            prefix += 1
     bucket = F.conv(F.substring(hash_col, 1, prefix), 16, 10)
     return running(df, keys, bucket, [hash_col], {out: ("sum", F.lit(1).cast("long"))})
 
 
-def quantile_bucket(df: DataFrame, column: str, rows_per_bucket: int = 100_000, most: int = 4_096) -> Column:
+def quantile_bucket(df: DataFrame, column: str, rows_per_bucket: int = 100_000) -> Column:
     """Bucket number along a numeric column; the number of buckets follows the rows.
 
     Pre-aggregate on the column first, so that a frequent value is one row. A row is
-    compared with coarse cuts, then with the fine cuts of its range.
+    compared with coarse cuts, then with the fine cuts of its range. Counts the rows and
+    takes the cuts when it is called.
     """
-    buckets = min(most, max(8, -(-df.count() // rows_per_bucket)))
+    buckets = max(8, -(-df.count() // rows_per_bucket))
     points = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.stat.approxQuantile(column, points, 0.25 / buckets)))
     if not cuts:
@@ -135,3 +153,29 @@ def trailing_mean(
         .filter(F.col("__block") == home)
         .drop("__block")
     )
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
+    """Exact interpolated percentiles per key, as the array ``cuts``; NULL values do not count.
+
+    Equal values are counted first. A running sum over value buckets gives each value its
+    span of ranks; the two values around a wanted rank are picked by a small aggregate, so no
+    task holds a key's values.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    counts = materialize(counts, "value-counts")
+    upto = running(counts, keys, quantile_bucket(counts, "__v"), ["__v"], {"__upto": ("sum", F.col("__c"))})
+    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], F.lit(True))
+    named = totals.select(*[F.col(k).alias(f"__of_{k}") for k in keys], "__n")
+    ranked = upto.join(named, met)
+    aggs = []
+    for p in points:
+        # Ranks from 0: the wanted one lies between two whole ranks.
+        rank = F.lit(float(p)) * (F.col("__n") - 1)
+        low, high = F.floor(rank), F.ceil(rank)
+        first = F.col("__upto") - F.col("__c")
+        at = lambda r: F.max(F.when((first <= r) & (r < F.col("__upto")), F.col("__v")))
+        a, b, part = at(low), at(high), F.max(rank - low)
+        aggs.append(a + (b - a) * part)
+    return ranked.groupBy(*keys).agg(F.array(*aggs).alias("cuts"))

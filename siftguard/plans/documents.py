@@ -224,10 +224,12 @@ def stratified_sample(spark, sf_dir):
     "stratified_folds",
     f"""SELECT doc_id, toxic AS label, CAST({fold_sql()} AS INTEGER) AS fold,
         CAST((row_number() OVER (PARTITION BY toxic ORDER BY {_HASH}) - 1) % 5 AS INTEGER) AS exact_fold
-        FROM labels""",
+        FROM (SELECT doc_id, toxic FROM documents LEFT JOIN labels USING (doc_id))""",
 )
 def stratified_folds(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    """Folds of all documents; those without a label are a class of their own."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    rows = ids.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.col("toxic").alias("label"))
     quick = sampling.stratified_folds(rows, "label", "doc_id")
     exact = sampling.stratified_folds(quick.withColumnRenamed("fold", "quick"), "label", "doc_id", exact=True)
     return exact.select("doc_id", "label", F.col("quick").alias("fold"), F.col("fold").alias("exact_fold"))

@@ -31,12 +31,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
 
 
-def read_log(spark: SparkSession, path: str, name: str, multi_line: bool = True) -> DataFrame:
+def read_log(spark: SparkSession, path: str, name: str, multi_line: bool = False) -> DataFrame:
     """One log with a parsed time ``ts``; rows with too few fields are dropped.
 
-    Quoted fields may hold commas, quotes and line breaks. A file with line breaks
-    inside records cannot be split, so large logs should come as many files, or with
-    ``multi_line=False`` where every record is one line.
+    Quoted fields may hold commas and quotes. Every record is one line, so that files are
+    split; with ``multi_line`` fields may hold line breaks too, and a file is one task.
     """
     columns = LOG_COLUMNS[name]
     raw = (
@@ -46,9 +45,12 @@ def read_log(spark: SparkSession, path: str, name: str, multi_line: bool = True)
         .csv(path)
     )
     # `_raw` is filled when the number of fields differs from the schema.
-    unquoted = F.regexp_replace("_raw", r'"(?:[^"]|"")*"', "")
+    # Possessive, as a field may be long: the pattern never steps back into it.
+    unquoted = F.regexp_replace("_raw", r'"(?:[^"]++|"")*+"', "")
     fields = F.size(F.split(unquoted, ",", -1))
-    complete = F.col("_raw").isNull() | (fields >= _LEAST_FIELDS[name])
+    # Never true of itself, but keeps a data column in a scan that only counts rows.
+    read = F.coalesce(F.length(columns[0]), F.lit(0)) < 0
+    complete = F.col("_raw").isNull() | (fields >= _LEAST_FIELDS[name]) | read
     return _with_time(raw.filter(complete).drop("_raw"))
 
 
@@ -57,7 +59,7 @@ def _with_time(raw: DataFrame) -> DataFrame:
 
 
 def read_audit_logs(
-    spark: SparkSession, folders: list[str], multi_line: bool = True
+    spark: SparkSession, folders: list[str], multi_line: bool = False
 ) -> dict[str, DataFrame]:
     """The four logs, each from the first folder that has it.
 
@@ -151,8 +153,8 @@ def long_results(df: DataFrame, experiment: str, dataset: Column, method: Column
 
 
 def write_results(results: DataFrame, path: str, kind: str = "json") -> None:
-    """Store a long result table, one folder per experiment."""
-    writer = results.write.mode("overwrite").partitionBy("experiment")
+    """Store a long result table, one folder per experiment; other experiments stay."""
+    writer = results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment")
     if kind == "json":
         writer.option("ignoreNullFields", False).json(path)
     else:

@@ -56,7 +56,7 @@ def logs(spark, tmp_path_factory):
     (second / "logon.csv").write_text("id,date,user,pc,activity\n")
     (second / "device.csv").write_text(DEVICE)
     (second / "email.csv").write_text(EMAIL)
-    return readers.read_audit_logs(spark, [str(first), str(second)])
+    return readers.read_audit_logs(spark, [str(first), str(second)], multi_line=True)
 
 
 def test_user_days(logs):
@@ -160,3 +160,33 @@ def test_lof_against_brute_force(cloud):
         local = 1 / (np.maximum(reach[n], dist[i][n]).mean() + 1e-10)
         assert got[i] == pytest.approx(density[n].mean() / local)
     assert max(got, key=got.get) == 0
+
+
+def test_logs_count_and_long_fields(spark, tmp_path):
+    for name, text in (("logon", LOGON), ("device", DEVICE), ("email", EMAIL), ("file", FILES)):
+        (tmp_path / f"{name}.csv").write_text(text)
+        assert readers.read_log(spark, str(tmp_path / f"{name}.csv"), name, True).count() >= 3
+    long = EMAIL.splitlines()[0] + '\n1,01/04/2010 08:00:00,U1,PC1,a@b,,,c@d,1,0,"' + 'x, ""y"" ' * 25_000 + '",surplus\n'
+    (tmp_path / "long.csv").write_text(long)
+    rows = readers.read_log(spark, str(tmp_path / "long.csv"), "email")
+    assert rows.count() == 1 and rows.first().user == "U1"
+
+
+def test_results_of_two_experiments(spark, tmp_path):
+    path = str(tmp_path / "results")
+    for name in ("e1", "e2", "e1"):
+        df = spark.createDataFrame([(1.0,)], "f1 double")
+        readers.write_results(readers.long_results(df, name, F.lit("d"), F.lit("m"), ["f1"]), path)
+    assert sorted(r.experiment for r in readers.read_results(spark, path).collect()) == ["e1", "e2"]
+
+
+def test_alarm_cut_is_the_exact_percentile(spark):
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.exponential(1, 700), 2)
+    rows = [(f"u{i}", i % 7, float(x), int(rng.random() < 0.1)) for i, x in enumerate(scores)]
+    df = spark.createDataFrame(rows, "user string, day int, outlier double, label int")
+    rate = np.mean([r[3] for r in rows if r[1] < 4])
+    cut = np.quantile([r[2] for r in rows if r[1] < 4], 1 - rate)
+    got = outliers.outlier_alarms(df, 4).collect()
+    assert len(got) == sum(r[1] >= 4 for r in rows)
+    assert all(r.alarm == (r.outlier > cut + 1e-12) for r in got if abs(r.outlier - cut) > 1e-9)

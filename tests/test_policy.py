@@ -82,9 +82,12 @@ def test_adaptive_beats_static_after_a_change(stream):
 
 def test_incremental_learns(stream):
     data, df = stream
-    scored = policy.incremental_policy(df.filter("stream_id = 'b'"), 300, blocks=4).collect()
+    scored = policy.incremental_policy(df.filter("stream_id = 'b'"), 300, block_rows=150).collect()
     assert sorted(r.pos for r in scored) == list(range(300, 900))
     assert np.mean([r.correct for r in scored]) > 0.9
+    # Another, longer stream changes nothing.
+    both = policy.incremental_policy(df, 300, block_rows=150).filter("stream_id = 'b'").collect()
+    assert sorted(map(tuple, both)) == sorted(map(tuple, scored))
 
 
 # --- detectors on error streams -----------------------------------------------------

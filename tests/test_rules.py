@@ -125,6 +125,40 @@ def test_specialize_adds_to_the_worst_rule(rows):
     assert specialize_rule(df, "label", full, proposer, s) == full
 
 
+@pytest.mark.parametrize("n", [16, 17])
+def test_missing_values_and_labels(spark, n):
+    rows = [(1.0, 1), (float("nan"), 1), (None, 1), (0.0, 0), (2.0, 0), (2.0, None)]
+    df = spark.createDataFrame(rows, "a double, label int")
+    sets = [[[("a", 1, 0.5)]]] * n
+    for r in rules.score_rule_sets(df, "label", sets).collect():
+        assert (r.tp, r.fp, r.fn) == (1, 1, 2)
+    assert rules.apply_rule_set(df, sets[0]).filter("predicted = 1").count() == 3
+
+
+def test_proposals_stay_well_formed():
+    stats = [
+        type("Row", (), dict(feature=f, mean_pos=i, mean_neg=1.0, std=0.5, median=0.7, lowest=0.0, highest=2.0)) for i, f in enumerate("abcde")
+    ]
+    s = SearchSettings()
+    propose = Proposer(stats, list("abcde"), s, np.random.default_rng(1))
+    sets = propose.random_sets(40)
+    sets.put(slice(0, 20), propose.midpoint_sets(20))
+    for _ in range(60):
+        pairs = np.random.default_rng(2).permutation(40)
+        sets = propose.change(propose.cross(sets, sets.take(pairs)))
+        for rules_ in propose.decode(sets):
+            assert 1 <= len(rules_) <= s.max_rules and all(1 <= len(r) <= s.max_conds for r in rules_)
+        again = propose.encode(propose.decode(sets))
+        assert (again.feature == sets.feature).all()
+
+
+def test_covering_falls_back_to_a_midpoint(spark):
+    df = spark.createDataFrame([(1.0, 0), (1.0, 0), (1.0, 0)], "a double, label int")
+    assert sequential_covering(df, "label", ["a"]) == []
+    df = spark.createDataFrame([(1.0, 1), (1.0, 0)], "a double, label int")
+    assert len(sequential_covering(df, "label", ["a"])) == 1
+
+
 def test_ranking_metrics(spark):
     scores = [("a", 5.0, 1), ("b", 5.0, 0), ("c", 4.0, 1), ("d", 1.0, 0), ("e", 0.5, 0), ("f", 0.5, 1)]
     df = spark.createDataFrame(scores, "user string, s double, y int")

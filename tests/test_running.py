@@ -82,3 +82,36 @@ def test_ties_settle_repeated_ids(spark):
     got = stream_positions(df, "key", "id", 7, ties=("v",)).orderBy("pos").collect()
     assert [(r.id, r.v) for r in got] == sorted((i, v) for _, i, v in rows)
     assert [r.pos for r in got] == list(range(200))
+
+
+def test_missing_keys_are_kept(spark):
+    rows = [(i, None if i % 3 == 0 else "k", f"{(i * 7919) % 4096:03x}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, key string, h string")
+    got = hash_rank(df, ["key"], "h", rows_per_bucket=4).collect()
+    assert len(got) == 30
+    for key, n in ((None, 10), ("k", 20)):
+        mine = sorted((r.h, r["rank"]) for r in got if r.key == key)
+        assert [rank for _, rank in mine] == list(range(1, n + 1))
+
+
+def test_positions_of_sparse_ids(spark):
+    rng = np.random.default_rng(4)
+    ids = sorted({int(x) for x in rng.integers(-2**60, 2**60, 700)})
+    df = spark.createDataFrame([(i, "a" if j % 10 else "b") for j, i in enumerate(ids)], "id long, key string")
+    got = sorted((r.key, r.id, r.pos) for r in stream_positions(df, "key", "id", 50).collect())
+    for key in ("a", "b"):
+        assert [p for k, _, p in got if k == key] == list(range(sum(k == key for k, _, _ in got)))
+
+
+@pytest.mark.parametrize("rows_per_bucket", [5, 100_000])
+def test_percentiles(spark, monkeypatch, rows_per_bucket):
+    from siftguard.operators import running as module
+
+    whole = module.quantile_bucket
+    monkeypatch.setattr(module, "quantile_bucket", lambda df, c: whole(df, c, rows_per_bucket))
+    rng = np.random.default_rng(5)
+    rows = [("a" if i % 9 else None, float(np.round(x, 1))) for i, x in enumerate(rng.normal(size=500))] + [("a", None)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    for r in module.percentiles(df, ["key"], "v", [0.0, 0.1, 0.5, 0.99, 1.0]).collect():
+        mine = [v for k, v in rows if k == r.key and v is not None]
+        assert np.allclose(r.cuts, np.quantile(mine, [0.0, 0.1, 0.5, 0.99, 1.0]))
