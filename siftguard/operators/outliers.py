@@ -1,7 +1,8 @@
 """Population outlier scores: isolation forest and local outlier factor.
 
-Both compare a row with a bounded random sample of the training rows (the sample is
-the model); scoring is one narrow pass over all rows.
+A forest is grown from bounded random samples (the published method) and scores in one
+narrow pass. The outlier factor compares every row with its nearest training rows, all of
+which count.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from math import ceil, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftguard.operators.running import percentiles
 from siftguard.operators.sampling import hash_of
-from siftguard.session import by_group
+from siftguard.session import by_group, materialize
 
 
 def standard_scale(
@@ -83,7 +84,8 @@ def isolation_forest_fit(
     size = min(sample, n)
     dealt = pool.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__copy").cast("string"), *[F.col(i).cast("string") for i in ids]))
-    slot = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % per_copy
+    # Dealt out by rank, so that every tree has a full sample; the pool is bounded.
+    slot = (F.row_number().over(Window.partitionBy("__copy").orderBy(key)) - 1) % per_copy
     dealt = dealt.select(
         (F.col("__copy") * per_copy + slot).alias("tree_id"), key.alias("__key"), *features
     ).filter(F.col("tree_id") < trees)
@@ -145,77 +147,117 @@ def isolation_forest(
     return isolation_forest_score(df, features, keep, forest, size)
 
 
-# Rows compared with the reference at a time inside a task.
+# Rows compared with a block at a time inside a task.
 _LOF_CHUNK = 256
 
 
-def _nearest(x: np.ndarray, reference: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and distances of the k nearest reference rows."""
-    squared = (x**2).sum(1)[:, None] + (reference**2).sum(1)[None, :] - 2.0 * x @ reference.T
-    near = np.argpartition(squared, k - 1, axis=1)[:, :k]
-    exact = np.sqrt(((x[:, None, :] - reference[near]) ** 2).sum(2))
-    order = np.argsort(exact, axis=1, kind="stable")
-    return np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-
-
-def _chunks(x: np.ndarray) -> Iterator[np.ndarray]:
+def _nearest(x: np.ndarray, block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest rows of a block; equal distances in the block's order."""
+    out_at, out_dist = [], []
     for i in range(0, len(x), _LOF_CHUNK):
-        yield x[i: i + _LOF_CHUNK]
+        part = x[i: i + _LOF_CHUNK]
+        dist = np.sqrt(((part[:, None, :] - block[None, :, :]) ** 2).sum(2))
+        at = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        out_at.append(at)
+        out_dist.append(np.take_along_axis(dist, at, 1))
+    return np.concatenate(out_at), np.concatenate(out_dist)
+
+
+def nearest_rows(queries: DataFrame, points: DataFrame, k: int, block_rows: int = 2_000) -> DataFrame:
+    """The exact k nearest points of every query, as rows (query, point, dist).
+
+    ``queries`` has ``query`` (long) and ``x`` (array), ``points`` has ``point`` and ``x``. A query
+    never finds the point with its own number. Points are cut into blocks along their
+    distance from the origin, which two rows can only differ in by less than their own
+    distance. A query looks in its home block first; its k-th distance there tells which other
+    blocks can hold a nearer point, and only those are asked. Blocks follow the rows.
+    """
+    radius = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    placed = materialize(points.withColumn("r", radius), "points")
+    width = block_rows / max(placed.count(), 1)
+    shares = list(np.arange(width, 1, width))
+    cuts = sorted(set(placed.stat.approxQuantile("r", shares, width / 4))) if shares else []
+
+    def block_of(value: Column) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < value)).cast("int")
+
+    block = block_of(F.col("r"))
+    # Points at the same distance may be many: they are dealt to sub-blocks of a bounded size.
+    numbered = placed.withColumn("home", block)
+    sizes = numbered.groupBy("home").agg(F.ceil(F.count("*") / (2 * block_rows)).cast("int").alias("parts"))
+    held = numbered.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"))
+    held = materialize(held.select("home", "part", "point", "x", "r"), "point-blocks")
+    parts = held.select("home", "part").distinct()
+    asked = materialize(queries.withColumn("r", radius).withColumn("home", block), "queries")
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "point": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        right = right.sort_by("point")
+        rows = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        ids, names = right.column("point").to_numpy(), left.column("query").to_numpy()
+        at, dist = _nearest(rows(left), rows(right), k + 1)
+        found = ids[at]
+        other = found != names[:, None]
+        keep = other & (np.cumsum(other, axis=1) <= k)
+        return pa.table({"query": np.repeat(names, keep.sum(1)), "point": found[keep], "dist": dist[keep]})
+
+    def ask(visits: DataFrame) -> DataFrame:
+        keys = ("home", "part")
+        # Aliased keys: both sides of the cogroup come from the same blocks.
+        visits = visits.select(*[F.col(c).alias(c) for c in visits.columns])
+        return by_group(visits, *keys).groupBy(*keys).cogroup(
+            by_group(held.select("home", "part", "point", "x"), *keys).groupBy(*keys)
+        ).applyInArrow(search, "query long, point long, dist double")
+
+    best = Window.partitionBy("query").orderBy("dist", "point")
+    # Without enough points at home every block is asked.
+    first = materialize(
+        ask(asked.join(parts.filter("part = 0"), "home").select("home", "part", "query", "x")), "home-neighbours"
+    )
+    reach = first.groupBy("query").agg(F.max("dist").alias("reach"), F.count("*").alias("n"))
+    limits = asked.join(reach, "query", "left").select(
+        "query", "x", "r", F.col("home").alias("own"), F.when(F.col("n") >= k, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach")
+    )
+    # All blocks that the interval of the query's reach touches, but the one it has been to.
+    span = F.sequence(block_of(F.col("r") - F.col("reach") * (1 + 1e-12) - 1e-9), block_of(F.col("r") + F.col("reach") * (1 + 1e-12) + 1e-9))
+    others = limits.select("query", "x", "own", F.explode(span).alias("home")).join(parts, "home").filter(
+        "not (home = own and part = 0)"
+    )
+    second = ask(others.select("home", "part", "query", "x"))
+    return first.union(second).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k).drop("__n")
 
 
 def local_outlier_factor(
-    df: DataFrame, train: DataFrame, features: list[str], ids: list[str], keep: list[str],
-    neighbors: int = 30, reference_rows: int = 4_000, seed: int = 0,
+    df: DataFrame, train: DataFrame, features: list[str], ids: list[str], keep: list[str], neighbors: int = 30,
+    block_rows: int = 2_000,
 ) -> DataFrame:
-    """Adds ``outlier``: density around the nearest reference rows over the own density.
+    """Adds ``outlier``: density around the nearest training rows over the own density.
 
-    The reference is a sample of at most ``reference_rows`` training rows, so the work
-    is linear in the scored rows. A training set within the bound is used in full.
+    All training rows are used. A row to be scored may be a training row too; then it is its
+    own nearest neighbour. ``ids`` settle the order of training rows at equal distances.
     """
-    spark = df.sparkSession
-    sample = bounded_sample(train.select(*ids, *features), ids, reference_rows, seed)
-    reference = np.array([list(r) for r in sample.select(*features).collect()], dtype=float)
-    k = min(neighbors, len(reference) - 1)
-    points = spark.sparkContext.broadcast(reference)
-    numbered = spark.range(len(reference))
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index = batch.column("id").to_numpy()
-            for part in _chunks(index):
-                near, dist = _nearest(points.value[part], points.value, k + 1)
-                # Leave the point itself out; among equal points any one will do.
-                itself = near == part[:, None]
-                itself[~itself.any(1), -1] = True
-                near = near[~itself].reshape(-1, k)
-                dist = dist[~itself].reshape(-1, k)
-                yield pa.RecordBatch.from_pydict(
-                    {"id": part, "near": near.tolist(), "dist": dist.tolist()}
-                )
-
-    found = numbered.mapInArrow(own, "id long, near array<long>, dist array<double>").orderBy("id").collect()
-    near = np.array([r.near for r in found])
-    dist = np.array([r.dist for r in found])
-    reach = dist[:, -1]
-    density = 1.0 / (np.maximum(reach[near], dist).mean(1) + 1e-10)
-    model = spark.sparkContext.broadcast((reach, density))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach, density = model.value
-        for batch in batches:
-            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
-            values = []
-            for part in _chunks(x):
-                near, dist = _nearest(part, points.value, k)
-                local = 1.0 / (np.maximum(reach[near], dist).mean(1) + 1e-10)
-                values.append(density[near].mean(1) / local)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(np.concatenate(values) if values else np.zeros(0))],
-                names=[*keep, "outlier"],
-            )
-
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", outlier double"
-    return df.select(*keep, *[f for f in features if f not in keep]).mapInArrow(score, schema)
+    vector = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+    number = F.xxhash64(*ids)
+    points = materialize(train.select(number.alias("point"), vector), "lof-points")
+    k = max(1, min(neighbors, points.count() - 1))
+    near = materialize(nearest_rows(points.select(F.col("point").alias("query"), "x"), points, k, block_rows), "lof-train")
+    reach = near.groupBy("query").agg(F.max("dist").alias("reach")).withColumnRenamed("query", "point")
+
+    def density(found: DataFrame) -> DataFrame:
+        met = found.join(reach, "point")
+        return met.groupBy("query").agg((1.0 / (F.avg(F.greatest("reach", "dist")) + 1e-10)).alias("density"))
+
+    known = materialize(density(near), "lof-density")
+    # Equal rows have equal scores: distinct vectors are searched once.
+    rows = df.select(*keep, vector)
+    vectors = rows.select("x").distinct().withColumn("query", F.xxhash64("x", F.lit("query")))
+    asked = materialize(nearest_rows(vectors, points, k, block_rows), "lof-queries")
+    around = asked.join(known.select(F.col("query").alias("point"), F.col("density").alias("theirs")), "point")
+    scored = around.groupBy("query").agg(F.avg("theirs").alias("theirs")).join(density(asked), "query").select(
+        "query", (F.col("theirs") / F.col("density")).alias("outlier")
+    )
+    return rows.withColumn("query", F.xxhash64("x", F.lit("query"))).join(scored, "query").select(*keep, "outlier")
 
 
 def global_user_scores(scored: DataFrame, split_day: int, user: str = "user") -> DataFrame:

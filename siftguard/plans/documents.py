@@ -401,7 +401,18 @@ def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.tokenize_docs(docs).drop("text")
 
 
-@query("assemble_features")
+_ASSEMBLE_SQL = _with(
+    f"""SELECT lab.doc_id, label, CAST((SELECT count(*) FROM vocab) + {len(FEATURE_NAMES)} AS INTEGER) AS n_features,
+        CAST(coalesce(n, 0) + {" + ".join(f"CASE WHEN {f} <> 0 THEN 1 ELSE 0 END" for f in FEATURE_NAMES)} AS INTEGER) AS n_nonzero,
+        round(coalesce(t, 0.0) + {" + ".join(FEATURE_NAMES)}, 6) AS total
+        FROM lab LEFT JOIN tw USING (doc_id)""",
+    TOKENS_SQL, "train AS (SELECT toks.* FROM toks JOIN labels USING (doc_id))", _TERMS, _VOCAB, _IDF,
+    """ww AS (SELECT doc_id, term, (1.0 + ln(count(*))) * any_value(idf) AS w FROM terms JOIN fit USING (term) GROUP BY doc_id, term),
+tw AS (SELECT doc_id, count(*) AS n, sum(w) / sqrt(sum(w * w)) AS t FROM ww GROUP BY doc_id)""",
+)
+
+
+@query("assemble_features", _ASSEMBLE_SQL)
 def assemble_features(spark, sf_dir):
     """Vector size, non-zero entries and sum per labelled document."""
     from pyspark.ml.functions import vector_to_array
@@ -705,13 +716,11 @@ def specialize_rule(spark, sf_dir):
     return _rule_rows(spark, rows, rule_search.specialize_rule(rows, "label", POLICY, proposer, s))
 
 
-SEARCH = rule_search.SearchSettings(population=60, generations=12, restarts=1, patience=6)
-
-
 @query("evolve_rules")
 def evolve_rules(spark, sf_dir):
+    """The whole search: 80 generations and 2 restarts at most."""
     rows = keep_hot(labelled(spark, sf_dir))
-    return _rule_rows(spark, rows, rule_search.evolve_rules(rows, "label", FEATURE_NAMES, SEARCH).rules)
+    return _rule_rows(spark, rows, rule_search.evolve_rules(rows, "label", FEATURE_NAMES).rules)
 
 
 @query("lambda_sensitivity")

@@ -146,9 +146,10 @@ def test_isolation_forest_finds_the_outlier(cloud):
         assert scored.count() == 600
 
 
-def test_lof_against_brute_force(cloud):
+@pytest.mark.parametrize("block_rows", [20, 2_000])
+def test_lof_against_brute_force(cloud, block_rows):
     x, df = cloud
-    scored = outliers.local_outlier_factor(df, df, ["a", "b"], ["id"], ["id"], neighbors=10)
+    scored = outliers.local_outlier_factor(df, df, ["a", "b"], ["id"], ["id"], 10, block_rows)
     got = {r.id: r.outlier for r in scored.collect()}
     dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     own = dist + np.where(np.eye(600, dtype=bool), np.inf, 0)
@@ -190,3 +191,19 @@ def test_alarm_cut_is_the_exact_percentile(spark):
     got = outliers.outlier_alarms(df, 4).collect()
     assert len(got) == sum(r[1] >= 4 for r in rows)
     assert all(r.alarm == (r.outlier > cut + 1e-12) for r in got if abs(r.outlier - cut) > 1e-9)
+
+
+def test_lof_uses_all_training_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6_000, 3))
+    x[1::7] = x[0]
+    points = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "point long, x array<double>")
+    asked = points.filter("point % 500 = 3").withColumnRenamed("point", "query")
+    got = outliers.nearest_rows(asked, points, 12, 500)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query"], []).append(r.dist)
+    assert len(found) == 12
+    for q, dist in found.items():
+        want = np.sort(np.delete(np.sqrt(((x - x[q]) ** 2).sum(1)), q))[:12]
+        assert np.allclose(sorted(dist), want)
