@@ -246,6 +246,7 @@ def drop_common_lines(docs: DataFrame, documents: int = 3, least: int = 20, shar
         .mapInArrow(_probe(documents), "doc_id long, hash long")
     )
     per_doc = materialize(gone.groupBy("doc_id").agg(F.collect_set("hash").alias("gone")), "lines-to-drop")
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(
+    # The same plan at every size: the texts are shuffled once.
+    return docs.join(per_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(
         _drop(least), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
     )
