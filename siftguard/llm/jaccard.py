@@ -37,7 +37,8 @@ def _ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray]:
         return [np.zeros(0, np.uint64)] * (len(first) - 1)
     grams = np.full(len(hashes), np.uint64(n))
     for i in range(n):
-        grams[: len(hashes) - i] = mix(grams[: len(hashes) - i] * _FP + hashes[i:])
+        m = max(len(hashes) - i, 0)
+        grams[:m] = mix(grams[:m] * _FP + hashes[i: i + m])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
@@ -276,7 +277,9 @@ def _qualifies(num: int, den: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def ngram_jaccard(
+    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block_tokens: int = BLOCK_TOKENS
+) -> DataFrame:
     """Components of documents whose n-gram sets link: den * |A and B| >= num * |A or B|.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links). Words are
@@ -286,6 +289,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bl
     without a doc_id are returned with a null component. Other columns are ignored. The work
     is done when this is called.
     """
+    # Joins by hints: tables that grow with the corpus are joined in one way at every size.
     docs = spread(docs.select("doc_id", "text"))
     known = docs.filter("doc_id is not null")
     sketch = materialize(known.mapInArrow(_sketches(n, num, den), SKETCH), "sketch")
@@ -300,7 +304,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bl
     per_token = Window.partitionBy("token")
     rows = sketch.filter(F.size("tokens") > 0).select(F.explode("tokens").alias("token"), "doc_id")
     twice = rows.select("*", F.count("*").over(per_token).alias("c")).filter("c > 1").drop("c")
-    of_class = twice.join(members.select("doc_id", "n_shingles", "rep").distinct(), "doc_id")
+    of_class = twice.join(members.select("doc_id", "n_shingles", "rep").distinct(), "doc_id").repartition("token")
     of_class = of_class.groupBy("token", "rep").agg(F.max("n_shingles").alias("size"))
     shared = materialize(
         of_class.select("*", F.count("*").over(per_token).alias("c")).filter("c > 1"), "shared-tokens"
@@ -314,24 +318,20 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bl
     groups = chosen.groupBy("gid").agg(
         F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("low"), F.max("size").alias("high")
     ).withColumn("blocks", F.ceil(F.col("total") / block_tokens).cast("int"))
+    ids = chosen.select(F.col("rep").alias("doc_id")).hint("merge")
     grams = materialize(
-        known.join(chosen.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(_sets(n), "id long, grams array<long>"), "sets"
+        known.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, grams array<long>"), "sets"
     )
     # A large group is cut into blocks; each pair of blocks is one piece of work.
-    placed = chosen.join(groups, "gid").select(
-        "gid", "rep", "n", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
-    )
+    placed = materialize(chosen.join(groups, "gid").select(
+        "gid", "rep", "n", "low", "high", "blocks",
+        F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
+    ), "placed")
 
-    # The matrix: a group's union of tokens. Of two groups the smaller one's members are queries.
-    tagged = shared.join(placed.select("rep", "gid", "n"), "rep")
-    matrix = tagged.groupBy("token", F.col("gid").alias("other"), F.col("n").alias("other_n")).agg(F.lit(1).alias("one"))
-    asked = tagged.join(matrix, "token").filter("n < other_n or (n = other_n and gid < other)")
-    common = asked.groupBy("rep", "other").agg(F.count("*").cast("long").alias("common"), F.first("size").alias("size"))
-    bounded = common.join(groups.select(F.col("gid").alias("other"), "low", "high"), "other").select(
-        "rep", "other", "size", "low", "high", "common"
-    )
-    opened = bounded.mapInArrow(_qualifies(num, den), "rep long, other long")
+    def verified(work: DataFrame) -> DataFrame:
+        full_rows = work.join(grams, "id").select("gid", "a", "b", "role", "id", "grams")
+        ordered = full_rows.repartition("gid", "a", "b").sortWithinPartitions("gid", "a", "b", "role", "id")
+        return ordered.mapInArrow(_verify(num, den), "a long, b long")
 
     inner = placed.filter("n > 1").select(
         "gid", "rep",
@@ -340,6 +340,29 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bl
             (i < F.col("block")).cast("int").alias("role"),
         ))).alias("at"),
     ).select("gid", "at.a", "at.b", "at.role", F.col("rep").alias("id"))
+    within = materialize(components(verified(inner)), "within-groups")
+
+    # The matrix: a group's union of tokens. Of two groups the smaller one's members are
+    # queries; a group that hangs together with the query already need not be asked.
+    known_so_far = placed.join(within, placed.rep == within.id, "left").select(
+        "gid", "rep", "n", "low", "high", F.coalesce("component_id", "rep").alias("component")
+    )
+    spread_of = known_so_far.groupBy("gid").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    known_so_far = materialize(known_so_far.join(spread_of, "gid"), "known-so-far")
+    tagged = shared.select("token", "rep", "size").join(known_so_far, "rep")
+    tagged = tagged.withColumn("least", F.min("gid").over(per_token)).withColumn("most", F.max("gid").over(per_token))
+    crossing = tagged.filter("least < most")
+    matrix = crossing.groupBy("token", F.col("gid").alias("other")).agg(
+        *[F.first(c).alias(f"other_{c}") for c in ("n", "low", "high", "first", "last")]
+    )
+    asked = crossing.select("token", "rep", "size", "gid", "n", "component").join(matrix, "token").filter(
+        "(n < other_n or (n = other_n and gid < other)) and not (other_first = component and other_last = component)"
+    )
+    common = asked.groupBy("rep", "other").agg(
+        F.first("size").alias("size"), F.first("other_low").alias("low"), F.first("other_high").alias("high"),
+        F.count("*").alias("common"),
+    )
+    opened = materialize(common.mapInArrow(_qualifies(num, den), "rep long, other long"), "opened")
     opened_groups = opened.select(F.col("other").alias("gid")).distinct()
     hosts = placed.join(opened_groups, "gid", "left_semi").select(
         "gid", F.col("block").alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("role"), F.col("rep").alias("id")
@@ -348,12 +371,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bl
         F.col("other").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
         F.lit(-1).alias("b"), F.lit(1).alias("role"), F.col("rep").alias("id"),
     )
-    work = inner.union(hosts).union(visits).join(grams, "id").select("gid", "a", "b", "role", "id", "grams")
-    links = (
-        work.repartition("gid", "a", "b").sortWithinPartitions("gid", "a", "b", "role", "id")
-        .mapInArrow(_verify(num, den), "a long, b long")
-    )
-    found = components(links)
+    across = verified(hosts.union(visits))
+    found = components(across.union(within.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
     linked = members.join(found, members.rep == found.id, "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")
     )
