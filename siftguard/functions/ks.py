@@ -10,11 +10,13 @@ from functools import lru_cache
 from math import comb, exp, gcd, sqrt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Samples up to this size are tested exactly, larger ones asymptotically.
+# With method "auto" samples up to this size are tested exactly, larger ones asymptotically.
 EXACT_LIMIT = 10_000
+METHODS = ("exact", "asymptotic", "auto")
 
 
 def tail_probability(x: float) -> float:
@@ -24,14 +26,18 @@ def tail_probability(x: float) -> float:
     return min(1.0, max(0.0, 2.0 * sum((-1) ** (j - 1) * exp(-2.0 * j * j * x * x) for j in range(1, 101))))
 
 
-def _rejects_equal(n: int, k: int, alpha: float) -> bool:
-    """Exact: P(distance >= k/n) < alpha for two samples of n."""
+def _exact_equal(n: int, k: int) -> float:
+    """P(distance >= k/n) for two samples of n, by the closed sum."""
+    if k <= 0:
+        return 1.0
     tail = sum((-1) ** (i - 1) * comb(2 * n, n + i * k) for i in range(1, n // k + 1))
-    return 2 * tail / comb(2 * n, n) < alpha
+    return 2 * tail / comb(2 * n, n)
 
 
-def _rejects_unequal(n1: int, n2: int, gap: int, alpha: float) -> bool:
-    """Exact: share of lattice paths that touch the band ``|i*n2 - j*n1| >= gap``."""
+def _exact_unequal(n1: int, n2: int, gap: int) -> float:
+    """Share of lattice paths that touch the band ``|i*n2 - j*n1| >= gap``."""
+    if gap <= 0:
+        return 1.0
     inside = np.zeros(n1 + 1)
     inside[0] = 1.0
     i = np.arange(n1 + 1)
@@ -42,23 +48,34 @@ def _rejects_unequal(n1: int, n2: int, gap: int, alpha: float) -> bool:
         moved += inside * np.clip(j, 0, None) / s
         moved[(j < 0) | (j > n2) | (np.abs(i * n2 - j * n1) >= gap)] = 0.0
         inside = moved
-    return 1.0 - inside[n1] < alpha
+    return float(1.0 - inside[n1])
+
+
+def is_exact(n1: int, n2: int, method: str) -> bool:
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    return method == "exact" or (method == "auto" and max(n1, n2) <= EXACT_LIMIT)
+
+
+@lru_cache(maxsize=4096)
+def pvalue(n1: int, n2: int, gap: int, method: str = "auto") -> float:
+    """Two-sided p-value of a gap (distance times n1 times n2)."""
+    if not is_exact(n1, n2, method):
+        return tail_probability(gap / (n1 * n2) * sqrt(n1 * n2 / (n1 + n2)))
+    return _exact_equal(n1, -(-gap // n1)) if n1 == n2 else _exact_unequal(n1, n2, gap)
 
 
 @lru_cache(maxsize=256)
-def critical_gap(n1: int, n2: int, alpha: float) -> int:
-    """Smallest gap that rejects at level ``alpha``; larger than any gap if none does."""
+def critical_gap(n1: int, n2: int, alpha: float, method: str = "auto") -> int:
+    """Smallest gap that rejects at level ``alpha``; larger than any gap if none does.
+
+    ``method`` is "exact", "asymptotic" or "auto" (exact up to ``EXACT_LIMIT`` rows a sample).
+    """
     largest = n1 * n2
     unit = n1 if n1 == n2 else gcd(n1, n2)
-    exact = max(n1, n2) <= EXACT_LIMIT
 
     def rejects(step: int) -> bool:
-        if exact and n1 == n2:
-            return _rejects_equal(n1, step, alpha)
-        if exact:
-            return _rejects_unequal(n1, n2, step * unit, alpha)
-        distance = step * unit / largest
-        return tail_probability(distance * sqrt(n1 * n2 / (n1 + n2))) < alpha
+        return pvalue(n1, n2, step * unit, method) < alpha
 
     low, high = 1, largest // unit
     if not rejects(high):
@@ -72,6 +89,16 @@ def critical_gap(n1: int, n2: int, alpha: float) -> int:
     return low * unit
 
 
+def exact_pvalue_column(distance: Column, n1: Column, n2: Column) -> Column:
+    """Exact two-sided p-value; for tables with one row per test."""
+
+    @F.pandas_udf("double")
+    def exact(gap: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([pvalue(int(x), int(y), int(g), "exact") for g, x, y in zip(gap, a, b)], dtype=float)
+
+    return exact(F.round(distance * n1 * n2).cast("long"), n1.cast("long"), n2.cast("long"))
+
+
 def pvalue_column(distance: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     """Asymptotic two-sided p-value."""
     x = distance * F.sqrt(n1 * n2 / (n1 + n2))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siftguard.functions.ks import critical_gap, window_gaps
 from siftguard.operators.running import running
-from siftguard.session import by_group, materialize, scratch_path
+from siftguard.session import by_group, scratch_path
 
 
 @dataclass
@@ -218,10 +218,14 @@ def error_stream_detectors(
     """
     spark = trace.sparkSession
     kinds = kinds or list(KINDS)
-    rows = materialize(
-        trace.filter(F.col("pos") >= warm).select("stream_id", "pos", (1 - F.col("correct")).cast("int").alias("error")),
-        "trace",
+    # Stored by block, so that a round reads its own rows only.
+    path = scratch_path(spark, "trace")
+    kept = trace.filter(F.col("pos") >= warm).select(
+        "stream_id", "pos", (1 - F.col("correct")).cast("int").alias("error"),
+        F.floor((F.col("pos") - warm) / block).cast("long").alias("block"),
     )
+    kept.repartition("block", "stream_id").write.partitionBy("block").parquet(path)
+    rows = spark.read.schema(kept.schema).parquet(path)
     stream_type = trace.schema["stream_id"].dataType.simpleString()
     schema = f"stream_id {stream_type}, kind string, alarms array<long>, state string"
     rounds = scratch_path(spark, "error-rounds")
@@ -244,8 +248,7 @@ def error_stream_detectors(
 
     keys = ("stream_id", "kind")
     for b in range(blocks):
-        low = warm + b * block
-        part = rows.filter((F.col("pos") >= low) & (F.col("pos") < low + block)).select("*", each_kind)
+        part = rows.filter(F.col("block") == b).drop("block").select("*", each_kind)
         state = spark.read.schema(schema).parquet(f"{rounds}/round={b}")
         moved = by_group(part, *keys).groupBy(*keys).cogroup(by_group(state, *keys).groupBy(*keys))
         moved.applyInPandas(step, schema).write.parquet(f"{rounds}/round={b + 1}")

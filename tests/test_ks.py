@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftguard.functions.ks import critical_gap, pvalue_column, tail_probability, window_gaps
+from siftguard.functions.ks import EXACT_LIMIT, critical_gap, exact_pvalue_column, pvalue, pvalue_column, tail_probability, window_gaps
 
 
 def exact_tail(n1, n2, gap):
@@ -65,3 +65,24 @@ def test_pvalue(spark):
     ).first()
     assert abs(row.p - 0.0495) < 1e-4 and row.q == 1.0
     assert abs(tail_probability(1.36) - row.p) < 1e-12
+
+
+@pytest.mark.parametrize("n1,n2", [(4, 4), (5, 5), (3, 5), (2, 7)])
+def test_exact_pvalues_against_enumeration(n1, n2):
+    for gap in range(0, n1 * n2 + 1):
+        assert pvalue(n1, n2, gap, "exact") == pytest.approx(exact_tail(n1, n2, gap))
+
+
+def test_method_changes_at_the_limit_only_with_auto():
+    n = EXACT_LIMIT
+    assert critical_gap(n, n, 0.01) == critical_gap(n, n, 0.01, "exact")
+    assert critical_gap(n + 1, n + 1, 0.01) == critical_gap(n + 1, n + 1, 0.01, "asymptotic")
+    assert pvalue(8, 8, 40, "asymptotic") != pvalue(8, 8, 40, "exact")
+    with pytest.raises(ValueError):
+        critical_gap(5, 5, 0.01, "other")
+
+
+def test_exact_column(spark):
+    df = spark.createDataFrame([(0.5, 4, 4), (0.6, 5, 5), (1.0, 2, 7), (0.0, 3, 3)], "d double, n1 long, n2 long")
+    got = [r[0] for r in df.select(exact_pvalue_column(F.col("d"), F.col("n1"), F.col("n2"))).collect()]
+    assert got == pytest.approx([exact_tail(4, 4, 8), exact_tail(5, 5, 15), exact_tail(2, 7, 14), 1.0])
