@@ -270,14 +270,19 @@ def incremental_policy(
     return out
 
 
-def compare_policies(traces: DataFrame, baseline: str = "static") -> DataFrame:
+def compare_policies(traces: DataFrame, baseline: str = "static", versions: DataFrame | None = None) -> DataFrame:
     """Mean accuracy, versions after the first, and gain over the baseline in percent.
 
-    ``traces`` has (stream_id, strategy, fit_pos, correct); fit_pos may be NULL.
+    ``traces`` has (stream_id, strategy, fit_pos, correct); fit_pos may be NULL. Refits are
+    counted in ``versions`` (stream_id, strategy, fit_pos), or in the traces without it,
+    which miss a version that scored no row.
     """
-    means = traces.groupBy("stream_id", "strategy").agg(
-        F.avg("correct").alias("accuracy"), F.count_distinct(F.when(F.col("fit_pos") > 0, F.col("fit_pos"))).alias("retrains")
-    )
+    keys = ["stream_id", "strategy"]
+    refit = F.count_distinct(F.when(F.col("fit_pos") > 0, F.col("fit_pos"))).alias("retrains")
+    means = traces.groupBy(*keys).agg(F.avg("correct").alias("accuracy"), refit)
+    if versions is not None:
+        counted = versions.groupBy(*keys).agg(refit)
+        means = means.drop("retrains").join(counted, keys, "left").fillna(0, ["retrains"])
     base = means.filter(F.col("strategy") == baseline).select("stream_id", F.col("accuracy").alias("__base"))
     gain = 100.0 * (F.col("accuracy") - F.col("__base")) / F.nullif(F.col("__base"), F.lit(0.0))
     return means.join(base, "stream_id", "left").withColumn("gain_pct", gain).drop("__base")

@@ -66,9 +66,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the application ends."""
+    context = spark.sparkContext
+    root = getattr(context, "_siftguard_scratch", None)
+    if root is None:
+        root = f"{shared_dir(spark)}/siftguard-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        context._siftguard_scratch = root
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for data between jobs; results read it until the application ends."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

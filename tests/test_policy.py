@@ -80,6 +80,14 @@ def test_adaptive_beats_static_after_a_change(stream):
     assert rules.count() == 2300 + 600
 
 
+def test_a_version_that_scores_nothing_counts(spark):
+    traces = spark.createDataFrame([("a", "static", 0, 1), ("a", "adaptive", 0, 1)], "stream_id string, strategy string, fit_pos long, correct int")
+    versions = spark.createDataFrame([("a", "adaptive", 0), ("a", "adaptive", 99)], "stream_id string, strategy string, fit_pos long")
+    got = {r.strategy: r.retrains for r in policy.compare_policies(traces, versions=versions).collect()}
+    assert got == {"static": 0, "adaptive": 1}
+    assert {r.retrains for r in policy.compare_policies(traces).collect()} == {0}
+
+
 def test_incremental_learns(stream):
     data, df = stream
     scored = policy.incremental_policy(df.filter("stream_id = 'b'"), 300, block_rows=150).collect()
