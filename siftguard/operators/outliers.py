@@ -152,14 +152,22 @@ _LOF_CHUNK = 256
 
 
 def _nearest(x: np.ndarray, block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest rows of a block; equal distances in the block's order."""
+    """Places and distances of the k nearest rows of a block.
+
+    A product of matrices picks somewhat more than k, whose distances are then taken exactly.
+    """
+    some = min(k + 16, len(block))
+    squares = (block**2).sum(1)
     out_at, out_dist = [], []
     for i in range(0, len(x), _LOF_CHUNK):
         part = x[i: i + _LOF_CHUNK]
-        dist = np.sqrt(((part[:, None, :] - block[None, :, :]) ** 2).sum(2))
-        at = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        out_at.append(at)
-        out_dist.append(np.take_along_axis(dist, at, 1))
+        rough = squares - 2.0 * part @ block.T
+        at = np.argpartition(rough, some - 1, axis=1)[:, :some] if some < len(block) else np.tile(np.arange(some), (len(part), 1))
+        at = np.sort(at, axis=1)
+        dist = np.sqrt(((part[:, None, :] - block[at]) ** 2).sum(2))
+        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        out_at.append(np.take_along_axis(at, best, 1))
+        out_dist.append(np.take_along_axis(dist, best, 1))
     return np.concatenate(out_at), np.concatenate(out_dist)
 
 
