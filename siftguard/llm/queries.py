@@ -161,7 +161,8 @@ g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS key FROM w, unnest(
 gg AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS c FROM g),
 rw AS (SELECT doc_id, count(DISTINCT j) AS n FROM gg, unnest(range(i, i + 3)) t(j) WHERE c > 1 GROUP BY doc_id),
 ln AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
-       WHERE regexp_matches(line, '[^ 	-]')),
+       WHERE regexp_matches(line, '[^ 	-
+]')),
 nl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
@@ -183,7 +184,46 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
-@query("op5_source_mix")
+@query("op5_source_mix", rf"""
+WITH w AS (SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM w GROUP BY source),
+g AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM s),
+gw AS (SELECT *, [3, 1, 2][(src - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM g),
+lv AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE)
+      - CAST(sum(cap) OVER () - sum(cap) OVER above AS DOUBLE)) / CAST(sum(weight) OVER above AS DOUBLE) AS level
+  FROM gw WINDOW above AS (ORDER BY cap / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+lc AS (SELECT *, cap / weight <= level AS capped FROM lv),
+t AS (SELECT source, src, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE)
+        ELSE weight * max(CASE WHEN NOT capped THEN level END) OVER () END AS target FROM lc),
+q AS (SELECT src, target / (2 * k - 1) AS quotient FROM t, range(1, CAST(target / 128 AS BIGINT) + (SELECT count(*) + 3 FROM t)) r(k)
+      WHERE target > 0),
+sq AS (SELECT src, count(*) AS quota FROM (SELECT src, row_number() OVER (ORDER BY quotient DESC, src) AS n FROM q)
+       WHERE n <= (SELECT round(sum(target) / 128) FROM t) GROUP BY src),
+d AS (
+  SELECT doc_id, size, t.src, source_size, target, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source),
+ds AS (SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % CAST(greatest(ceil(source_size / 1000000), 1) AS BIGINT) AS shard FROM d),
+p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY src, shard ORDER BY key, doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ds),
+sh AS (SELECT src, shard, CAST(sum(size) AS BIGINT) AS words FROM p GROUP BY src, shard HAVING sum(size) > 0),
+shq AS (SELECT src, shard, words / (2 * k - 1) AS quotient, quota FROM sh JOIN sq USING (src), range(1, quota + 1) r(k)),
+won AS (SELECT src, shard, count(*) AS quota FROM (
+          SELECT *, row_number() OVER (PARTITION BY src ORDER BY quotient DESC, shard) AS n FROM shq) WHERE n <= quota
+        GROUP BY src, shard),
+qu AS (SELECT src, shard, CAST(ceil(words / 128) AS BIGINT) AS blocks,
+         least(coalesce(quota, 0), 2 * CAST(ceil(words / 128) AS BIGINT)) AS quota FROM sh LEFT JOIN won USING (src, shard)),
+lots AS (SELECT src, shard, block, quota % blocks AS wanted, row_number() OVER (PARTITION BY src, shard
+           ORDER BY md5('mix:' || src || ':' || shard || ':' || block), block) AS n FROM qu, range(0, blocks) r(block)),
+parts AS (
+  SELECT p.src, p.shard, p.start, sum(least(start + size, (block + 1) * 128) - greatest(start, block * 128)) AS part
+  FROM p JOIN lots ON p.src = lots.src AND p.shard = lots.shard AND n <= wanted
+    AND block * 128 < start + size AND (block + 1) * 128 > start
+  WHERE size > 0 GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0
+    ELSE quota // blocks * size + coalesce(part, 0) END AS BIGINT) AS taken
+FROM p LEFT JOIN qu USING (src, shard) LEFT JOIN parts USING (src, shard, start)
+""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
