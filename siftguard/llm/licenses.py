@@ -8,7 +8,6 @@ that no text without any of them can reach the coefficient with any notice.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +67,8 @@ def anchors(templates: list[tuple[str, int, list[str]]], num: int, den: int) ->
     """
     chosen: set[str] = set()
     for _, _, grams in templates:
-        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in chosen, -len(w), w))
+        words = sorted({w for g in grams for w in g.split()}, reverse=True)
+        words.sort(key=lambda w: (w not in chosen, -len(w)))
         for word in [None, *words]:
             if word:
                 chosen.add(word)
@@ -96,14 +96,13 @@ def scan_licenses(
     templates = _templates(notices)
     if not templates:
         templates = [("", 0, [])]
-    words = anchors(templates, num, den)
-    holds = lambda text: reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
+    # One pass over the text; the words are tried where a word begins. ASCII case only.
+    holds = f"(?i)(?<![a-z0-9])(?:{'|'.join(anchors(templates, num, den)) or '(?!)'})(?![a-z0-9])"
+    words = F.split(F.trim(F.regexp_replace(_lower(F.col("raw")), "[^a-z0-9]+", " ")), " ")
     lines = (
-        spread(docs.select("doc_id", "text")).filter(holds(_lower(F.col("text"))))
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-        .select("doc_id", (F.col("at") + 1).alias("line"), _lower(F.col("raw")).alias("raw")).filter(holds(F.col("raw")))
-        .select("doc_id", "line", F.split(F.trim(F.regexp_replace("raw", "[^a-z0-9]+", " ")), " ").alias("words"))
-        .filter(F.size("words") >= 2)
+        spread(docs.select("doc_id", "text")).filter(F.col("text").rlike(holds))
+        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw")).filter(F.col("raw").rlike(holds))
+        .select("doc_id", (F.col("at") + 1).alias("line"), words.alias("words")).filter(F.size("words") >= 2)
     )
     pairs = F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.size("words") - 1),
