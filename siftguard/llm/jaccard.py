@@ -296,7 +296,7 @@ def ngram_jaccard(
     full = sketch.filter("n_shingles > 0")
     classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     members = materialize(
-        full.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select("doc_id", "n_shingles", "rep"),
+        full.select("doc_id", "n_shingles", "fp1", "fp2").join(classes.hint("merge"), ["fp1", "fp2"]).select("doc_id", "n_shingles", "rep"),
         "members",
     )
 
@@ -304,7 +304,7 @@ def ngram_jaccard(
     per_token = Window.partitionBy("token")
     rows = sketch.filter(F.size("tokens") > 0).select(F.explode("tokens").alias("token"), "doc_id")
     twice = rows.select("*", F.count("*").over(per_token).alias("c")).filter("c > 1").drop("c")
-    of_class = twice.join(members.select("doc_id", "n_shingles", "rep").distinct(), "doc_id").repartition("token")
+    of_class = twice.join(members.select("doc_id", "n_shingles", "rep").distinct().hint("merge"), "doc_id").repartition("token")
     of_class = of_class.groupBy("token", "rep").agg(F.max("n_shingles").alias("size"))
     shared = materialize(
         of_class.select("*", F.count("*").over(per_token).alias("c")).filter("c > 1"), "shared-tokens"
@@ -329,7 +329,7 @@ def ngram_jaccard(
     ), "placed")
 
     def verified(work: DataFrame) -> DataFrame:
-        full_rows = work.join(grams, "id").select("gid", "a", "b", "role", "id", "grams")
+        full_rows = work.hint("merge").join(grams, "id").select("gid", "a", "b", "role", "id", "grams")
         ordered = full_rows.repartition("gid", "a", "b").sortWithinPartitions("gid", "a", "b", "role", "id")
         return ordered.mapInArrow(_verify(num, den), "a long, b long")
 
@@ -349,13 +349,13 @@ def ngram_jaccard(
     )
     spread_of = known_so_far.groupBy("gid").agg(F.min("component").alias("first"), F.max("component").alias("last"))
     known_so_far = materialize(known_so_far.join(spread_of, "gid"), "known-so-far")
-    tagged = shared.select("token", "rep", "size").join(known_so_far, "rep")
+    tagged = shared.select("token", "rep", "size").join(known_so_far.hint("merge"), "rep")
     tagged = tagged.withColumn("least", F.min("gid").over(per_token)).withColumn("most", F.max("gid").over(per_token))
     crossing = tagged.filter("least < most")
     matrix = crossing.groupBy("token", F.col("gid").alias("other")).agg(
         *[F.first(c).alias(f"other_{c}") for c in ("n", "low", "high", "first", "last")]
     )
-    asked = crossing.select("token", "rep", "size", "gid", "n", "component").join(matrix, "token").filter(
+    asked = crossing.select("token", "rep", "size", "gid", "n", "component").join(matrix.hint("merge"), "token").filter(
         "(n < other_n or (n = other_n and gid < other)) and not (other_first = component and other_last = component)"
     )
     common = asked.groupBy("rep", "other").agg(
