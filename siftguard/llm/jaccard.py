@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftguard.llm.components import components
+from siftguard.llm.release import release
 from siftguard.llm.words import SPACES, lists, mix, pieces
 from siftguard.session import materialize, spread
 
@@ -131,7 +132,7 @@ def _tokens(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, tokens array<long>"
 
 
-def _sketches(n: int, num: int, den: int):
+def _sketches(n: int, num: int, den: int, with_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for batch in batches:
@@ -144,7 +145,7 @@ def _sketches(n: int, num: int, den: int):
                     prints[1, i] = mix(grams * _FP + np.uint64(1)).sum(dtype=np.uint64)
                     key = prints[:, i].tobytes()
                     # Copies in one task would only repeat the first one's tokens.
-                    if len(grams) and key not in seen:
+                    if with_tokens and len(grams) and key not in seen:
                         seen.add(key)
                         tokens.append(_tokens(grams, bands)[0])
                         bounds.append(bounds[-1] + len(tokens[-1]))
@@ -272,13 +273,14 @@ def _qualifies(num: int, den: int):
                     bands.needed(band, size, low, high, spare) for band, _, spare in bands.of(min(size, low)) or [(0, 0, 0)]
                 )
                 keep.append(common >= least)
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 5])
 
     return run
 
 
 def ngram_jaccard(
-    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block_tokens: int = BLOCK_TOKENS,
+    rounds: int = 4,
 ) -> DataFrame:
     """Components of documents whose n-gram sets link: den * |A and B| >= num * |A or B|.
 
@@ -287,12 +289,15 @@ def ngram_jaccard(
     have no set: n_shingles 0, a component of their own. Rows with equal texts are linked. A
     row that repeats a doc_id (and its text) is returned each time, with one component; rows
     without a doc_id are returned with a null component. Other columns are ignored. The work
-    is done when this is called.
+    is done when this is called. Groups above ``block_tokens`` n-grams are compared in blocks;
+    visits to groups come in ``rounds``, each of which frees its files.
     """
     # Joins by hints: tables that grow with the corpus are joined in one way at every size.
     docs = spread(docs.select("doc_id", "text"))
+    spark = docs.sparkSession
     known = docs.filter("doc_id is not null")
-    sketch = materialize(known.mapInArrow(_sketches(n, num, den), SKETCH), "sketch")
+    sketch = known.mapInArrow(_sketches(n, num, den, False), SKETCH).drop("tokens")
+    sketch = materialize(sketch, "sketch")
     full = sketch.filter("n_shingles > 0")
     classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     members = materialize(
@@ -302,7 +307,7 @@ def ngram_jaccard(
 
     # Tokens that more than one class has.
     per_token = Window.partitionBy("token")
-    rows = sketch.filter(F.size("tokens") > 0).select(F.explode("tokens").alias("token"), "doc_id")
+    rows = known.mapInArrow(_sketches(n, num, den, True), SKETCH).select(F.explode("tokens").alias("token"), "doc_id")
     twice = rows.select("*", F.count("*").over(per_token).alias("c")).filter("c > 1").drop("c")
     of_class = twice.join(members.select("doc_id", "n_shingles", "rep").distinct().hint("merge"), "doc_id").repartition("token")
     of_class = of_class.groupBy("token", "rep").agg(F.max("n_shingles").alias("size"))
@@ -310,6 +315,8 @@ def ngram_jaccard(
         of_class.select("*", F.count("*").over(per_token).alias("c")).filter("c > 1"), "shared-tokens"
     )
 
+    release(spark)
+
     # A class joins the group of its most frequent token.
     chosen = shared.groupBy("rep").agg(
         F.max(F.struct("c", "token")).alias("best"), F.first("size").alias("size")
@@ -322,6 +329,7 @@ def ngram_jaccard(
     grams = materialize(
         known.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, grams array<long>"), "sets"
     )
+    release(spark)
     # A large group is cut into blocks; each pair of blocks is one piece of work.
     placed = materialize(chosen.join(groups, "gid").select(
         "gid", "rep", "n", "low", "high", "blocks",
@@ -342,14 +350,18 @@ def ngram_jaccard(
     ).select("gid", "at.a", "at.b", "at.role", F.col("rep").alias("id"))
     within = materialize(components(verified(inner)), "within-groups")
 
+    def hanging_together(found: DataFrame) -> DataFrame:
+        """Component of every class, and the first and last component of its group."""
+        known_so_far = placed.join(found, placed.rep == found.id, "left").select(
+            "gid", "rep", "n", "low", "high", F.coalesce("component_id", "rep").alias("component")
+        )
+        spread_of = known_so_far.groupBy("gid").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+        return materialize(known_so_far.join(spread_of, "gid"), "known-so-far")
+
     # The matrix: a group's union of tokens. Of two groups the smaller one's members are
     # queries; a group that hangs together with the query already need not be asked.
-    known_so_far = placed.join(within, placed.rep == within.id, "left").select(
-        "gid", "rep", "n", "low", "high", F.coalesce("component_id", "rep").alias("component")
-    )
-    spread_of = known_so_far.groupBy("gid").agg(F.min("component").alias("first"), F.max("component").alias("last"))
-    known_so_far = materialize(known_so_far.join(spread_of, "gid"), "known-so-far")
-    tagged = shared.select("token", "rep", "size").join(known_so_far.hint("merge"), "rep")
+    after_groups = hanging_together(within)
+    tagged = shared.select("token", "rep", "size").join(after_groups.hint("merge"), "rep")
     tagged = tagged.withColumn("least", F.min("gid").over(per_token)).withColumn("most", F.max("gid").over(per_token))
     crossing = tagged.filter("least < most")
     matrix = crossing.groupBy("token", F.col("gid").alias("other")).agg(
@@ -362,22 +374,45 @@ def ngram_jaccard(
         F.first("size").alias("size"), F.first("other_low").alias("low"), F.first("other_high").alias("high"),
         F.count("*").alias("common"),
     )
-    opened = materialize(common.mapInArrow(_qualifies(num, den), "rep long, other long"), "opened")
-    opened_groups = opened.select(F.col("other").alias("gid")).distinct()
-    hosts = placed.join(opened_groups, "gid", "left_semi").select(
-        "gid", F.col("block").alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("role"), F.col("rep").alias("id")
-    )
-    visits = opened.join(groups.select(F.col("gid").alias("other"), "blocks"), "other").select(
-        F.col("other").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
-        F.lit(-1).alias("b"), F.lit(1).alias("role"), F.col("rep").alias("id"),
+    opened = materialize(common.mapInArrow(_qualifies(num, den), "rep long, other long, common long"), "opened")
+    release(spark)
+
+    def visited(pairs: DataFrame) -> DataFrame:
+        hosts = placed.join(pairs.select(F.col("other").alias("gid")).distinct(), "gid", "left_semi").select(
+            "gid", F.col("block").alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("role"), F.col("rep").alias("id")
+        )
+        visits = pairs.join(groups.select(F.col("gid").alias("other"), "blocks"), "other").select(
+            F.col("other").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
+            F.lit(-1).alias("b"), F.lit(1).alias("role"), F.col("rep").alias("id"),
+        )
+        return verified(hosts.union(visits))
+
+    # Each query goes to the group with the most common tokens first; then to the others
+    # that it does not hang together with by now.
+    best = opened.groupBy("rep").agg(F.max(F.struct("common", "other")).alias("b")).select("rep", F.col("b.other").alias("other"))
+    best = materialize(best, "first-visits")
+    edges = within.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    joined = materialize(components(visited(best).union(edges)), "after-first-visits")
+    release(spark)
+    after_best = hanging_together(joined)
+    heads = after_best.select(F.col("gid").alias("other"), "first", "last").distinct()
+    rest = (
+        opened.join(best, ["rep", "other"], "left_anti").join(after_best.select("rep", "component"), "rep").join(heads, "other")
+        .filter("not (first = component and last = component)").select("rep", "other")
     )
-    across = verified(hosts.union(visits))
-    found = components(across.union(within.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
+    rest = materialize(rest, "other-visits")
+    edges = joined.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    # In rounds by group, so that only a part of the sets is on its way at a time.
+    for i in range(rounds):
+        links = visited(rest.filter(F.pmod(F.xxhash64("other"), F.lit(rounds)) == i))
+        edges = edges.union(materialize(links, "links"))
+        release(spark)
+    found = components(edges)
     linked = members.join(found, members.rep == found.id, "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")
     )
     empty = sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    unnamed = docs.filter("doc_id is null").mapInArrow(_sketches(n, num, den), SKETCH).select(
+    unnamed = docs.filter("doc_id is null").mapInArrow(_sketches(n, num, den, False), SKETCH).select(
         "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")
     )
     return linked.union(empty).union(unnamed)
