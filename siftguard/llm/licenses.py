@@ -1,8 +1,10 @@
-"""Licence scans: lines of documents compared to licence notices by Dice over word bigrams.
+"""Licence scans: documents compared to licence notices and texts by Dice over word bigrams.
 
-Built-in functions only. A line is compared with the notices whose size allows the required
-coefficient. Before that, a document and then a line must hold one of a few words, chosen so
-that no text without any of them can reach the coefficient with any notice.
+Built-in functions only. ``scan_licenses`` compares single lines with the notices whose size
+allows the required coefficient. ``scan_texts`` takes a document as one sequence of words, so
+that wrapped texts and notices within paragraphs are found. Before either, a document (and a
+line) must hold one of a few words, chosen so that no text without any of them can reach the
+coefficient with any notice.
 """
 
 from __future__ import annotations
@@ -48,10 +50,50 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "proprietary": ("All rights reserved.",),
 }
 
+# Licence texts and headings that scan_texts compares besides the notices, numbered after them.
+TEXTS: dict[str, tuple[str, ...]] = {
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
+        "so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT "
+        "OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder "
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+        "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    "GPL-2.0": (
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+}
+
+
+def _words(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
 
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a normalised notice."""
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    words = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -126,6 +168,108 @@ def scan_licenses(
     ).filter("matches").drop("matches")
 
 
+def with_texts(notices: dict[str, tuple[str, ...]] = NOTICES, texts: dict[str, tuple[str, ...]] = TEXTS) -> dict[str, tuple[str, ...]]:
+    """Notices and, numbered after them, texts of each licence."""
+    return {name: notices.get(name, ()) + texts.get(name, ()) for name in [*notices, *(t for t in texts if t not in notices)]}
+
+
+def scan_texts(
+    docs: DataFrame, notices: dict[str, tuple[str, ...]] | None = None, num: int = 4, den: int = 5
+) -> DataFrame:
+    """Passages of whole texts that match a notice or licence text with Dice of at least num / den.
+
+    A text is one sequence of words across its lines, normalised as in ``scan_licenses``. All
+    windows that begin and end with a bigram of the notice (others only lower the coefficient)
+    and have at most (2 den - num) / num times its words are compared by their distinct bigrams.
+    Matching windows of a notice that share a bigram's place are one passage, of which the best
+    window is returned, among equals the first, then the shortest: doc_id, line (of its first
+    word, from 1), word (its place in the text, from 1), n_words, license, notice, n_bigrams,
+    n_shared and dice. Without ``notices`` NOTICES and TEXTS are compared. Null and empty texts
+    match nothing; repeated rows and ids give rows each; other columns are ignored.
+    """
+    notices = with_texts() if notices is None else notices
+    templates = _templates(notices)
+    if not templates:
+        templates = [("", 0, [])]
+    holds = f"(?i)(?<![a-z0-9])(?:{'|'.join(anchors(templates, num, den)) or '(?!)'})(?![a-z0-9])"
+    known = F.array(*[
+        F.struct(
+            F.lit(name).alias("license"), F.lit(i).alias("notice"), F.array(*map(F.lit, grams)).cast("array<string>").alias("grams"),
+            F.lit(-(-num * len(grams) // (2 * den - num))).alias("least"),
+            # Places of bigrams in the longest window.
+            F.lit((2 * den - num) * len(_words(notices[name][i] if name else "")) // num - 1).alias("most"),
+        )
+        for name, i, grams in templates
+    ])
+    every = F.array(*[F.lit(g) for g in sorted({g for _, _, grams in templates for g in grams})]).cast("array<string>")
+    split = lambda raw: F.filter(
+        F.split(F.regexp_replace(_lower(raw), "[^a-z0-9]+", " "), " "), lambda x: x != ""
+    )
+    by_line = (
+        spread(docs.select("doc_id", "text")).filter(F.col("text").rlike(holds))
+        .select("doc_id", F.transform(F.split("text", "\n"), split).alias("by_line"))
+        .select("doc_id", F.transform("by_line", F.size).alias("counts"), F.flatten("by_line").alias("words"))
+        .filter(F.size("words") >= 2)
+    )
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.size("words") - 1),
+        lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)),
+    )
+    # A window shares at least num / (2 den - num) of a notice's bigrams; most texts do not as a whole.
+    shares = lambda t: (F.size(t["grams"]) > 0) & (F.size(F.array_intersect("some", t["grams"])) >= t["least"])
+    opened = (
+        by_line.select("doc_id", "counts", pairs.alias("all"))
+        .select("doc_id", "counts", "all", F.array_intersect("all", every).alias("some"))
+        .select("doc_id", "counts", "all", F.explode(F.filter(known, shares)).alias("t"))
+    )
+    hits = opened.withColumn("at", F.filter(
+        F.sequence(F.lit(1), F.size("all")), lambda i: F.array_contains("t.grams", F.element_at("all", i))
+    ))
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.transform(
+        F.filter(
+            F.slice("at", i + F.col("t.least") - 1, F.col("t.most")),
+            lambda e: e - F.element_at("at", i) < F.col("t.most"),
+        ),
+        lambda e: F.struct(F.element_at("at", i).alias("first"), e.alias("last")),
+    )))
+
+    def sized(w: Column) -> Column:
+        held = F.slice("all", w["first"], w["last"] - w["first"] + 1)
+        n, shared = F.size(F.array_distinct(held)), F.size(F.array_intersect(held, F.col("t.grams")))
+        return F.struct(w["first"].alias("first"), w["last"].alias("last"), n.alias("n"), shared.alias("shared"))
+
+    size = F.size("t.grams")
+    enough = lambda w: 2 * den * w["shared"] >= num * (w["n"] + size)
+    dice = lambda w: 2 * w["shared"] / (w["n"] + size)
+    matches = hits.withColumn("w", windows).withColumn("w", F.transform("w", sized)).withColumn("w", F.filter("w", enough))
+    kind = "struct<first:int,last:int,n:int,shared:int>"
+    none = F.array().cast(f"array<struct<end:int,best:{kind}>>")
+
+    def join(done: Column, w: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        better = F.when(dice(w) > dice(last["best"]), w).otherwise(last["best"])
+        grown = F.struct(F.greatest(last["end"], w["last"]).alias("end"), better.alias("best"))
+        fresh = F.struct(w["last"].alias("end"), w.alias("best"))
+        meets = F.coalesce(w["first"] <= last["end"], F.lit(False))
+        return F.when(
+            meets, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))
+        ).otherwise(F.concat(done, F.array(fresh))).cast(f"array<struct<end:int,best:{kind}>>")
+
+    passages = matches.filter(F.size("w") > 0).withColumn("p", F.explode(F.aggregate(F.array_sort("w"), none, join)))
+    best = F.col("p.best")
+    line = F.aggregate(
+        "counts", F.struct(F.lit(0).alias("seen"), F.lit(0).alias("line")),
+        lambda done, n: F.when(
+            done["seen"] < F.col("p.best.first"), F.struct((done["seen"] + n).alias("seen"), (done["line"] + 1).alias("line"))
+        ).otherwise(done),
+    )["line"]
+    return passages.select(
+        "doc_id", line.alias("line"), best["first"].alias("word"), (best["last"] - best["first"] + 2).alias("n_words"),
+        F.col("t.license").alias("license"), F.col("t.notice").alias("notice"),
+        best["n"].alias("n_bigrams"), best["shared"].alias("n_shared"), dice(best).alias("dice"),
+    )
+
+
 def scan_sql(notices: dict[str, tuple[str, ...]] = NOTICES, num: int = 4, den: int = 5) -> str:
     """DuckDB twin of scan_licenses on documents."""
     rows = ", ".join(

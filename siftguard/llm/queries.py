@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftguard.llm.decontaminate import find_benchmark
 from siftguard.llm.host_quality import judge
 from siftguard.llm.jaccard import ngram_jaccard
-from siftguard.llm.licenses import scan_licenses, scan_sql
+from siftguard.llm.licenses import scan_licenses, scan_sql, scan_texts
 from siftguard.llm.lines import drop_common_lines
 from siftguard.llm.mixing import mix_sources
 from siftguard.llm.quality_classifier import score_quality
@@ -136,6 +136,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op2_license_texts")
+def op2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts and notices across lines; ``op2_license_scan`` keeps to single lines, as its twin does."""
+    return scan_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
