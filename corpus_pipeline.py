@@ -41,11 +41,19 @@ def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document of which blocks are taken stands as often as it is taken on average, once at least."""
+    """The mix: a document stands as often as its words are taken on average, none included.
+
+    The average is rounded up with the probability of its fraction, by a hash of the id, so that
+    the words of a source come to its target on average.
+    """
     ship_package(spark)
-    taken = mix_sources(docs).filter("taken > 0").select(
-        "doc_id", F.greatest(F.round(F.col("taken") / F.col("size")), F.lit(1)).cast("int").alias("__times")
-    )
+    lot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("copies"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    # A text without words has no average; the optimiser may move the filters.
+    size = F.nullif(F.col("size"), F.lit(0))
+    up = lot * size < F.col("taken") % size * F.lit(2**32)
+    taken = mix_sources(docs).select(
+        "doc_id", (F.floor(F.col("taken") / size) + up.cast("int")).cast("int").alias("__times")
+    ).filter("__times > 0")
     return docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
 
 
