@@ -725,9 +725,9 @@ def evolve_rules(spark, sf_dir):
 
 @query("lambda_sensitivity")
 def lambda_sensitivity(spark, sf_dir):
+    """The whole search, as evolve_rules does it, for every weight and fold."""
     rows = sampling.stratified_folds(labelled(spark, sf_dir), "label", "doc_id", folds=3)
-    short = rule_search.SearchSettings(population=40, generations=5, restarts=1, patience=3, max_rules=5)
-    found = classifiers.lambda_sensitivity(keep_hot(rows), "label", FEATURE_NAMES, settings=short)
+    found = classifiers.lambda_sensitivity(keep_hot(rows), "label", FEATURE_NAMES)
     return found.groupBy("lam").agg(
         F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"), F.avg("n_rules").alias("rules_mean")
     )
