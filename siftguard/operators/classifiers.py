@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siftguard.operators.metrics import binary_metrics
 from siftguard.operators.rule_search import SearchSettings, evolve_rules, survey_columns
 from siftguard.operators.rules import apply_rule_set
-from siftguard.operators.tfidf import assemble_features, tfidf_fit, vocabulary_rows
+from siftguard.operators.tfidf import assemble_features, tfidf_fit, vocabulary_rows, word_columns
 from siftguard.session import keep_hot
 
 MODELS: dict[str, Callable] = {
@@ -111,28 +111,34 @@ def label_budget_curve(
 
 def lambda_sensitivity(
     df: DataFrame, label: str, features: list[str], lams: tuple[float, ...] = (0.0, 0.02, 0.05, 0.1, 0.2),
-    folds: int = 3, settings: SearchSettings | None = None,
+    folds: int = 3, settings: SearchSettings | None = None, size: int = 300,
 ) -> DataFrame:
     """Test F1 and number of rules per complexity weight and fold.
 
-    ``df`` has a ``fold`` column; the runs are independent and share Spark's cores.
+    ``df`` has a ``fold`` column; the runs are independent and share Spark's cores. With a
+    column ``tokens`` the weights of ``size`` words, learnt on the training folds, are searched too.
     """
     base = settings or SearchSettings()
 
     def prepare(fold: int):
-        return survey_columns(df.filter(F.col("fold") != fold), label, features, base)
+        rows, names = df, features
+        if "tokens" in df.columns:
+            rows, words = word_columns(df, vocabulary_rows(tfidf_fit(df.filter(F.col("fold") != fold), size)))
+            rows, names = keep_hot(rows), [*words, *features]
+        return rows, names, survey_columns(rows.filter(F.col("fold") != fold), label, names, base)
 
     def one(task: tuple[float, int]) -> tuple:
         lam, fold = task
         s = replace(base, lam=lam, seed=base.seed + fold)
-        rules = evolve_rules(df.filter(F.col("fold") != fold), label, features, s, surveys[fold]).rules
-        scored = apply_rule_set(df.filter(F.col("fold") == fold), rules)
+        rows, names, survey = prepared[fold]
+        rules = evolve_rules(rows.filter(F.col("fold") != fold), label, names, s, survey).rules
+        scored = apply_rule_set(rows.filter(F.col("fold") == fold), rules)
         f1 = binary_metrics(scored, label, "predicted").first()["f1"]
         return (lam, fold, f1, len(rules))
 
     tasks = [(lam, fold) for lam in lams for fold in range(folds)]
     with ThreadPool(8) as pool:
         # What does not depend on lambda is found once per fold.
-        surveys = pool.map(prepare, range(folds))
+        prepared = pool.map(prepare, range(folds))
         rows = pool.map(one, tasks)
     return df.sparkSession.createDataFrame(rows, "lam double, fold int, f1 double, n_rules int")

@@ -100,3 +100,13 @@ def assemble_features(tokenized: DataFrame, vocabulary: list[tuple[str, float]])
     return _weights(tokenized, vocabulary).withColumn(
         "features", array_to_vector(F.concat("tfidf", extra))
     ).drop("tfidf", "tokens")
+
+
+def word_columns(tokenized: DataFrame, vocabulary: list[tuple[str, float]]) -> tuple[DataFrame, list[str]]:
+    """A column ``word_<term>`` per weight in place of the tokens, and the names of these columns."""
+    names = [f"word_{t}" for t, _ in vocabulary]
+    if not names:
+        return tokenized.drop("tokens"), names
+    weights = [F.col("tfidf")[i].alias(n) for i, n in enumerate(names)]
+    kept = [c for c in tokenized.columns if c != "tokens"]
+    return _weights(tokenized, vocabulary).select(*kept, *weights), names

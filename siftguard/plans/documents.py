@@ -698,35 +698,42 @@ def _rule_rows(spark: SparkSession, rows: DataFrame, ruleset: rules.RuleSet) ->
     )
 
 
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Weights of 300 words and identifier features of the labelled documents, and their names."""
+    rows = keep_hot(labelled_tokens(spark, sf_dir))
+    wide, words = tfidf.word_columns(rows, tfidf.vocabulary_rows(tfidf.tfidf_fit(rows)))
+    return keep_hot(wide), [*words, *FEATURE_NAMES]
+
+
 @query("sequential_covering")
 def sequential_covering(spark, sf_dir):
-    rows = keep_hot(labelled(spark, sf_dir))
-    return _rule_rows(spark, rows, rule_search.sequential_covering(rows, "label", FEATURE_NAMES))
+    rows, names = searched(spark, sf_dir)
+    return _rule_rows(spark, rows, rule_search.sequential_covering(rows, "label", names))
 
 
 @query("specialize_rule")
 def specialize_rule(spark, sf_dir):
     import numpy as np
 
-    rows = keep_hot(labelled(spark, sf_dir))
+    rows, names = searched(spark, sf_dir)
     s = rule_search.SearchSettings()
-    stats = rules.class_statistics(rows, "label", FEATURE_NAMES).collect()
-    ranked = [r.feature for r in rules.feature_separation(rows, "label", FEATURE_NAMES).collect()]
+    stats = rules.class_statistics(rows, "label", names).collect()
+    ranked = [r.feature for r in rules.feature_separation(rows, "label", names).collect()]
     proposer = rule_search.Proposer(stats, ranked, s, np.random.default_rng(0))
     return _rule_rows(spark, rows, rule_search.specialize_rule(rows, "label", POLICY, proposer, s))
 
 
 @query("evolve_rules")
 def evolve_rules(spark, sf_dir):
-    """The whole search: 80 generations and 2 restarts at most."""
-    rows = keep_hot(labelled(spark, sf_dir))
-    return _rule_rows(spark, rows, rule_search.evolve_rules(rows, "label", FEATURE_NAMES).rules)
+    """The whole search, over words and identifiers: 80 generations and 2 restarts at most."""
+    rows, names = searched(spark, sf_dir)
+    return _rule_rows(spark, rows, rule_search.evolve_rules(rows, "label", names).rules)
 
 
 @query("lambda_sensitivity")
 def lambda_sensitivity(spark, sf_dir):
-    """The whole search, as evolve_rules does it, for every weight and fold."""
-    rows = sampling.stratified_folds(labelled(spark, sf_dir), "label", "doc_id", folds=3)
+    """The whole search, as evolve_rules does it, for every weight and fold; words are learnt per fold."""
+    rows = sampling.stratified_folds(labelled_tokens(spark, sf_dir), "label", "doc_id", folds=3)
     found = classifiers.lambda_sensitivity(keep_hot(rows), "label", FEATURE_NAMES)
     return found.groupBy("lam").agg(
         F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"), F.avg("n_rules").alias("rules_mean")
