@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftguard.llm.centroids import cluster_vectors
 from siftguard.llm.decontaminate import find_benchmark
 from siftguard.llm.host_quality import judge
 from siftguard.llm.jaccard import ngram_jaccard
@@ -15,6 +16,7 @@ from siftguard.llm.lines import drop_common_lines
 from siftguard.llm.mixing import mix_sources
 from siftguard.llm.quality_classifier import score_quality
 from siftguard.llm.sharding import shard_rows
+from siftguard.llm.spelling import spelling_variants
 from siftguard.llm.substrings import remove_repeats
 from siftguard.llm.toxicity import score_toxicity
 from siftguard.session import ship_package
@@ -242,3 +244,82 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    parts = [r"""
+kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(CAST(x AS DOUBLE)))) = 64)""", f"""
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+  FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, v, d, c FROM (
+    SELECT vec_id, v, d, c, row_number() OVER (PARTITION BY vec_id, v ORDER BY d, c) AS place FROM (
+      SELECT vec_id, kept.v AS v, c, CAST(list_sum(list_transform(list_zip(kept.v, c{r}.v),
+        lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{r}))
+  WHERE place = 1)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i),
+f{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM m{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(f{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN f{r} USING (c))""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+@query("op12_centroid_clustering", _clusters_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spelling_variants", rf"""
+WITH RECURSIVE
+-- CRC-32 by its table of 256 remainders.
+crc(i, step, r) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL
+  SELECT i, step + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM crc WHERE step < 8),
+tab AS (SELECT list(r ORDER BY i) AS t FROM crc WHERE step = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS doc, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+bs AS (
+  SELECT doc, run, c, flatten(list_transform(string_split(doc || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b
+  FROM runs),
+h AS (
+  SELECT doc, run, c, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM (SELECT doc, run, c, CAST(b AS BIGINT[]) AS b, t FROM bs, tab)),
+w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM h),
+n AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS MATERIALIZED (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM n, unnest(range(1, length(word) + 1)) t(i)),
+near AS (
+  SELECT DISTINCT a.word AS word, b.word AS near FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, n.word FROM cut JOIN n ON n.word = cut.rest
+  UNION SELECT n.word, cut.word FROM cut JOIN n ON n.word = cut.rest),
+best AS (
+  SELECT near.word, near AS form, m.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY m.n DESC, encode(near)) AS place
+  FROM near JOIN n m ON m.word = near.near),
+f AS MATERIALIZED (
+  SELECT n.word, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n.n THEN form END AS form,
+         CASE WHEN form_n >= 2 * n.n THEN form_n END AS form_n
+  FROM n LEFT JOIN best ON best.word = n.word AND place = 1),
+chain(word, root) AS (
+  SELECT word, word FROM f UNION ALL
+  SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, root, f.n, f.n_near, f.form_n
+FROM f JOIN (SELECT chain.word, root FROM chain JOIN f ON f.word = root WHERE f.form IS NULL) r ON r.word = f.word
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
