@@ -14,6 +14,7 @@ from siftguard.llm.jaccard import ngram_jaccard
 from siftguard.llm.licenses import scan_licenses, scan_sql, scan_texts
 from siftguard.llm.lines import drop_common_lines
 from siftguard.llm.mixing import mix_sources
+from siftguard.llm.near_vectors import near_vectors
 from siftguard.llm.quality_classifier import score_quality
 from siftguard.llm.sharding import shard_rows
 from siftguard.llm.spelling import spelling_variants
@@ -246,6 +247,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# All pairs; the search behind the query is audited to find nearly all of them.
+@query("op11_embedding_near_dedup", """
+WITH RECURSIVE u AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(CAST(x AS DOUBLE)))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, p.b FROM reach JOIN p ON p.a = reach.r),
+n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
 def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
     parts = [r"""
 kept AS MATERIALIZED (
