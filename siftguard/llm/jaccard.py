@@ -1,34 +1,35 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Each document is a set of word n-grams. Documents with equal sets are one class. For the join
-a set is rewritten as a smaller set of compound tokens: the universe of n-grams is cut into m
-segments by hash, and a token stands for the whole content of one segment. Two sets that link
-differ in at most k n-grams, so at least m - k of their segments are equal; m is chosen per
-band of sizes, so that equal segments that are not empty must exist. A passage that many
-otherwise different documents share makes no common token, since segments hold other n-grams too.
-
-Classes are partitioned into groups of similar documents (those that share their most
-frequent token). The matrix (token, group) is the union of the tokens of a group's members.
-The number of a query's tokens in a group's row bounds its overlap with every member; only
-groups that reach the required number are opened, and their members compared exactly.
+Each document is a set of word n-grams, kept as 64-bit hashes. Documents with equal sets (by two
+such sums) are one class. A set that links with another one shares at least num / den of its n-grams
+with it, so a first pass finds, for every class, the n-grams that other classes have as well; most
+documents have too few of them and leave here, among them all that only share a passage.
+
+The others are partitioned into groups of similar documents: those with the same least shared
+n-gram. The matrix (token, group) has a row per group, the union of its members' n-grams. A
+query looks up its rarest tokens only: if it needs c common ones out of s, one of the s - c + 1
+rarest must be common. In the groups found so the number of its n-grams in the group's
+union bounds its overlap with every member; only groups that reach the required number are
+opened, and their members compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftguard.llm.components import components
 from siftguard.llm.release import release
 from siftguard.llm.words import SPACES, lists, mix, pieces
-from siftguard.session import materialize, spread
+from siftguard.session import discard, materialize, spread
 
 BLOCK_TOKENS = 1_000_000
+# N-grams that a counting task holds.
+TASK_GRAMS = 2_000_000
 _FP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -55,232 +56,236 @@ def _ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-class Bands:
-    """Bands of set sizes, each with its number of segments.
+SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long"
+# kind 0: n-grams that only one class of a piece has; 1: those that several have, without
+# classes; 2: their classes. Classes (by fp1) and their n-grams stand side by side.
+ENTRIES = "bucket int, kind int, keys array<long>, counts array<int>, grams array<long>"
+
+
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((2, len(sets)), np.uint64)
+    for i, grams in enumerate(sets):
+        out[0, i] = mix(grams).sum(dtype=np.uint64)
+        out[1, i] = mix(grams * _FP + np.uint64(1)).sum(dtype=np.uint64)
+    return out
 
-    A pair belongs to the band of its smaller set; a set takes part in its own band and in
-    those below whose pairs may reach its size. Sizes at which linked sets must be equal
-    need no band.
-    """
 
-    def __init__(self, num: int, den: int, ratio: float = 1.5):
-        self.num, self.den, self.ratio = num, den, ratio
-        self.bands: list[tuple[int, int, int, int]] = []
-        low = 1
-        while self._differ(low, self._largest(low)) == 0:
-            low += 1
-        self._next = low
-
-    def _largest(self, a: int) -> int:
-        return a * self.den // self.num
-
-    def _differ(self, a: int, b: int) -> int:
-        """Most n-grams in which linked sets of sizes a and b can differ."""
-        return (a + b) * (self.den - self.num) // (self.den + self.num)
-
-    def _grow(self, size: int) -> None:
-        while self._next <= size:
-            low = self._next
-            high = max(low, ceil(low * self.ratio) - 1)
-            differ = max(self._differ(a, self._largest(a)) for a in range(max(low, high - 40), high + 1))
-            spare = 1
-            # Segments that stay empty, by the occupancy of m cells: enough to spare in all
-            # but a few sets in ten thousand, which name their empty segments instead.
-            for spare in range(1, 4 * differ + 64):
-                m = differ + 1 + spare
-                free = exp(-low / m)
-                if spare >= m * free + 4 * sqrt(m * free * (1 - (1 + low / m) * free)):
-                    break
-            self.bands.append((low, high, m, spare))
-            self._next = high + 1
-
-    def of(self, size: int) -> list[tuple[int, int, int]]:
-        """(band, segments, spare) of each band that a set of this size takes part in."""
-        self._grow(size)
-        return [
-            (i, m, spare) for i, (low, high, m, spare) in enumerate(self.bands)
-            if low <= size <= self._largest(high)
-        ]
-
-    def needed(self, band: int, size: int, low: int, high: int, empty: int) -> int:
-        """Least number of common tokens of a set and any linked one of low to high n-grams."""
-        self._grow(size)
-        _, _, m, _ = self.bands[band]
-        return m - self._differ(size, min(high, self._largest(size))) - empty
-
-
-def _tokens(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
-    """Compound tokens of a set over its bands, and the most empty segments in a band."""
-    out, most = [], 0
-    for band, m, spare in bands.of(len(grams)):
-        segment = ((grams >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        # Sorted by hash, so sorted by segment.
-        heads = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        sums = np.add.reduceat(mix(grams ^ _FP), heads)
-        used = segment[heads]
-        place = (np.uint64(band) << np.uint64(40)) + used.astype(np.uint64)
-        out.append(mix(sums * _FP + mix(place)))
-        empty = m - len(used)
-        most = max(most, empty)
-        if empty > spare:
-            # Too many empty segments to rely on the others: these say so by tokens of their own.
-            missing = np.setdiff1d(np.arange(m), used).astype(np.uint64)
-            out.append(mix(mix((np.uint64(band) << np.uint64(40)) + missing) + _FP))
-    return (np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)), most
-
-
-SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, tokens array<long>"
-
-
-def _sketches(n: int, num: int, den: int, with_tokens: bool):
+def _sketches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(num, den), set()
         for batch in batches:
             for piece in pieces(batch.column(1), SPACES, lower=True):
                 sets = _ngrams(piece.hashes(), piece.first, n)
-                prints = np.zeros((2, len(sets)), np.uint64)
-                tokens, bounds = [np.zeros(0, np.uint64)], [0]
-                for i, grams in enumerate(sets):
-                    prints[0, i] = mix(grams).sum(dtype=np.uint64)
-                    prints[1, i] = mix(grams * _FP + np.uint64(1)).sum(dtype=np.uint64)
-                    key = prints[:, i].tobytes()
-                    # Copies in one task would only repeat the first one's tokens.
-                    if with_tokens and len(grams) and key not in seen:
-                        seen.add(key)
-                        tokens.append(_tokens(grams, bands)[0])
-                        bounds.append(bounds[-1] + len(tokens[-1]))
-                    else:
-                        bounds.append(bounds[-1])
+                prints = _prints(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(piece.rows.start, len(piece.rows)),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
-                    lists(np.concatenate(tokens), np.array(bounds)),
-                ], ["doc_id", "n_shingles", "fp1", "fp2", "tokens"])
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[0]), pa.array(prints[1]),
+                ], ["doc_id", "n_shingles", "fp1", "fp2"])
 
     return run
 
 
-def _sets(n: int):
+def _dealt(kind: int, keys: np.ndarray, grams: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket; n-grams of a class stand together."""
+    order = np.lexsort((keys, bucket))
+    keys, grams, bucket = keys[order], grams[order], bucket[order]
+    change = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+    heads = np.flatnonzero(change | np.concatenate(([True], keys[1:] != keys[:-1])))
+    rows = np.flatnonzero(change)
+    ends = np.append(rows, len(grams))
+    counts = np.diff(np.append(heads, len(grams)))
+    key_ends = np.searchsorted(heads, ends).astype(np.int32)
+    return pa.RecordBatch.from_arrays([
+        pa.array(bucket[rows].astype(np.int32)), pa.array(np.full(len(rows), kind, np.int32)), lists(keys[heads], key_ends),
+        pa.ListArray.from_arrays(pa.array(key_ends), pa.array(counts, pa.int32())), lists(grams, ends),
+    ], ["bucket", "kind", "keys", "counts", "grams"])
+
+
+def _entries(n: int, buckets: int):
+    """N-grams of a task's classes, dealt to buckets.
+
+    An n-gram that several classes of a piece have is known to be shared: it goes to its bucket
+    once, and its classes to buckets of their own, so that neither an n-gram that very
+    many classes have nor a class with very many copies falls to one task.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for piece in pieces(batch.column(1), SPACES, lower=True):
                 sets = _ngrams(piece.hashes(), piece.first, n)
-                bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.rows.start, len(piece.rows)), lists(np.concatenate(sets), bounds)],
-                    ["id", "grams"],
-                )
+                prints = _prints(sets)
+                some = []
+                for i in range(len(sets)):
+                    key = prints[:, i].tobytes()
+                    # Copies in one task would only repeat the first one.
+                    if len(sets[i]) and key not in seen:
+                        seen.add(key)
+                        some.append(i)
+                if not some:
+                    continue
+                grams = np.concatenate([sets[i] for i in some])
+                keys = np.repeat(prints[0, some], [len(sets[i]) for i in some])
+                order = np.argsort(grams, kind="stable")
+                grams, keys = grams[order], keys[order]
+                first = np.concatenate(([True], grams[1:] != grams[:-1]))
+                once = first & np.append(first[1:], True)
+                at = (mix(grams) % np.uint64(buckets)).astype(np.int64)
+                if once.any():
+                    yield _dealt(0, keys[once], grams[once], at[once])
+                if not once.all():
+                    several = first & ~once
+                    yield _dealt(1, np.zeros(several.sum(), np.uint64), grams[several], at[several])
+                    by_pair = (mix(grams ^ mix(keys + _FP)) % np.uint64(buckets)).astype(np.int64)
+                    yield _dealt(2, keys[~once], grams[~once], by_pair[~once])
 
     return run
 
 
-def _overlaps(grams: np.ndarray, flat: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Size of the intersection of one sorted set with each of many."""
-    at = np.searchsorted(grams, flat)
-    at[at == len(grams)] = 0
-    return np.add.reduceat((grams[at] == flat).astype(np.int64), heads)
-
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
 
-def _links_to(grams, ids, flat, heads, sizes, num, den) -> np.ndarray:
-    """Which of many sets link with one."""
-    both = _overlaps(grams, flat, heads)
-    return den * both >= num * (sizes + len(grams) - both)
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each class the n-grams that another class has as well; a task holds whole buckets."""
+    held: dict[int, list] = {0: [], 1: [], 2: []}
+    for batch in batches:
+        kinds = batch.column(1).to_numpy()
+        for kind in (0, 1, 2):
+            rows = batch.filter(pa.array(kinds == kind))
+            if rows.num_rows:
+                keys, counts = _flat(rows.column(2)).view(np.uint64), _flat(rows.column(3))
+                grams = _flat(rows.column(4)).view(np.uint64)
+                held[kind].append((grams, np.repeat(keys, counts)) if kind != 1 else (grams, grams[:0]))
+    both = {k: tuple(np.concatenate([h[i] for h in v]) if v else np.zeros(0, np.uint64) for i in (0, 1)) for k, v in held.items()}
+    held.clear()
+    out = []
+    for kind in (0, 2):
+        grams, keys = both[kind]
+        order = np.lexsort((keys, grams))
+        grams, keys = grams[order], keys[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (keys[1:] != keys[:-1])
+        grams, keys = grams[new], keys[new]
+        if kind == 0 and len(grams):
+            first = np.concatenate(([True], grams[1:] != grams[:-1]))
+            many = ~first | ~np.append(first[1:], True) | np.isin(grams, both[1][0])
+            grams, keys = grams[many], keys[many]
+        out.append((grams, keys))
+    grams, keys = (np.concatenate([x[i] for x in out]) for i in (0, 1))
+    if len(grams):
+        order = np.lexsort((grams, keys))
+        grams, keys = grams[order], keys[order]
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        ends = np.append(heads, len(keys))
+        for i in range(0, len(heads), 10_000):
+            part = ends[i: i + 10_001]
+            if len(part) > 1:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[part[:-1]].view(np.int64)), lists(grams[part[0]: part[-1]], part - part[0])], ["fp1", "grams"]
+                )
 
-def _compare(block: list, queries: list, own: bool, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Links of a block's members that connect what its links connect.
 
-    With ``own`` the members are compared with one another: from each member not reached yet
-    the reached ones are followed, every member compared with those not yet reached. Then
-    each query is compared with all members.
-    """
-    ids = np.array([i for i, _ in block], np.int64)
-    sizes = np.array([len(g) for _, g in block], np.int64)
-    if not len(ids):
-        return
-    flat = np.concatenate([g for _, g in block])
-    heads = np.cumsum(sizes) - sizes
-    for i, grams in queries:
-        for j in ids[_links_to(grams, ids, flat, heads, sizes, num, den)].tolist():
-            yield i, j
-    if not own:
-        return
-    left = np.arange(len(ids))
-    waiting: list[int] = []
-    while len(left):
-        at = waiting.pop() if waiting else int(left[0])
-        left = left[left != at]
-        if not len(left):
-            break
-        some = np.concatenate([block[i][1] for i in left]) if len(left) < len(ids) // 2 else None
-        if some is None:
-            found = left[_links_to(block[at][1], ids, flat, heads, sizes, num, den)[left]]
-        else:
-            inner = np.cumsum(sizes[left]) - sizes[left]
-            found = left[_links_to(block[at][1], ids[left], some, inner, sizes[left], num, den)]
-        for j in found.tolist():
-            yield int(ids[at]), int(ids[j])
-            waiting.append(j)
-        left = np.setdiff1d(left, found)
-    return
+def _links_to(grams, size, flat, heads, sizes, num, den) -> np.ndarray:
+    """Which of many sets link with one. Sets hold shared n-grams only; sizes are whole."""
+    at = np.searchsorted(grams, flat)
+    at[at == len(grams)] = 0
+    both = np.add.reduceat((grams[at] == flat).astype(np.int64), heads)
+    return den * both >= num * (sizes + size - both)
+
+
+class _Block:
+    """Members of a group, or of a block of it, with their row of the matrix."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]], num: int, den: int):
+        self.ids = np.array([i for i, _, _ in members], np.int64)
+        self.sizes = np.array([s for _, s, _ in members], np.int64)
+        self.sets = [g for _, _, g in members]
+        lengths = np.array([len(g) for g in self.sets], np.int64)
+        self.flat = np.concatenate(self.sets) if members else np.zeros(0, np.int64)
+        self.heads = np.cumsum(lengths) - lengths
+        self.num, self.den = num, den
+        self._union: np.ndarray | None = None
+
+    def asked(self, size: int, grams: np.ndarray) -> list[int]:
+        """Members that link with a query; the block is opened if the bound allows any."""
+        if not len(self.ids):
+            return []
+        if self._union is None:
+            self._union = np.unique(self.flat)
+        at = np.searchsorted(self._union, grams)
+        at[at == len(self._union)] = 0
+        most = int((self._union[at] == grams).sum())
+        if self.den * most < self.num * max(size, int(self.sizes.min())):
+            return []
+        return self.ids[_links_to(grams, size, self.flat, self.heads, self.sizes, self.num, self.den)].tolist()
+
+    def inner(self) -> Iterator[tuple[int, int]]:
+        """Links that connect what the links of the members connect.
+
+        From each member not reached yet the reached ones are followed, every member compared
+        with those not yet reached.
+        """
+        left, waiting = np.arange(len(self.ids)), []
+        while len(left):
+            at = waiting.pop() if waiting else int(left[0])
+            left = left[left != at]
+            if not len(left):
+                break
+            few = len(left) < len(self.ids) // 2
+            flat = np.concatenate([self.sets[i] for i in left]) if few else self.flat
+            lengths = np.array([len(self.sets[i]) for i in left], np.int64) if few else None
+            heads = np.cumsum(lengths) - lengths if few else self.heads
+            sizes = self.sizes[left] if few else self.sizes
+            hit = _links_to(self.sets[at], int(self.sizes[at]), flat, heads, sizes, self.num, self.den)
+            found = left[hit if few else hit[left]]
+            for j in found.tolist():
+                yield int(self.ids[at]), int(self.ids[j])
+                waiting.append(j)
+            left = np.setdiff1d(left, found)
 
 
 def _verify(num: int, den: int):
-    """Rows of one block come together, members (role 0) before queries (role 1)."""
+    """Columns gid, a, b, role, id, size, grams; of one block members (role 0) come before queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, queries, links = None, [], [], []
+        key, members, block, links = None, [], None, []
 
-        def flush():
-            links.extend(_compare(block, queries, bool(key) and key[1] == key[2], num, den))
+        def close():
+            nonlocal block
+            if key is not None and block is None:
+                block = _Block(members, num, den)
+            if key is not None and key[1] == key[2]:
+                links.extend(block.inner())
 
         for batch in batches:
-            bounds = batch.column(5).offsets.to_numpy()
-            flat = batch.column(5).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            rows = zip(*[batch.column(i).to_pylist() for i in range(5)])
-            for k, (gid, a, b, role, i) in enumerate(rows):
+            bounds = batch.column(6).offsets.to_numpy()
+            flat = batch.column(6).values.to_numpy(zero_copy_only=False)
+            rows = zip(*[batch.column(i).to_pylist() for i in range(6)])
+            for k, (gid, a, b, role, i, size) in enumerate(rows):
                 if (gid, a, b) != key:
-                    flush()
-                    key, block, queries = (gid, a, b), [], []
-                (queries if role else block).append((i, flat[bounds[k]: bounds[k + 1]].copy()))
-                if role and len(queries) >= 256:
-                    links.extend(_compare(block, queries, False, num, den))
-                    queries = []
+                    close()
+                    key, members, block = (gid, a, b), [], None
+                grams = flat[bounds[k]: bounds[k + 1]]
+                if not role:
+                    members.append((i, size, grams.copy()))
+                    continue
+                if block is None:
+                    block = _Block(members, num, den)
+                links.extend((i, j) for j in block.asked(size, grams))
             if len(links) > 10_000:
                 yield pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [x for _, x in links]})
                 links = []
-        flush()
-        a, b = [x for x, _ in links], [x for _, x in links]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _qualifies(num: int, den: int):
-    """Keep (query, group) pairs whose common tokens reach what a link would need."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        for batch in batches:
-            keep = []
-            for size, low, high, common in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)]):
-                low, high = max(low, -(-size * num // den)), min(high, size * den // num)
-                if low > high:
-                    keep.append(False)
-                    continue
-                least = min(
-                    bands.needed(band, size, low, high, spare) for band, _, spare in bands.of(min(size, low)) or [(0, 0, 0)]
-                )
-                keep.append(common >= least)
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 5])
+        close()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"]
+        )
 
     return run
 
 
 def ngram_jaccard(
     docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, block_tokens: int = BLOCK_TOKENS,
-    rounds: int = 4,
+    task_grams: int = TASK_GRAMS,
 ) -> DataFrame:
     """Components of documents whose n-gram sets link: den * |A and B| >= num * |A or B|.
 
@@ -289,56 +294,59 @@ def ngram_jaccard(
     have no set: n_shingles 0, a component of their own. Rows with equal texts are linked. A
     row that repeats a doc_id (and its text) is returned each time, with one component; rows
     without a doc_id are returned with a null component. Other columns are ignored. The work
-    is done when this is called. Groups above ``block_tokens`` n-grams are compared in blocks;
-    visits to groups come in ``rounds``, each of which frees its files.
+    is done when this is called. N-grams are counted in tasks of about ``task_grams``; groups
+    above ``block_tokens`` n-grams are compared in blocks.
     """
     # Joins by hints: tables that grow with the corpus are joined in one way at every size.
     docs = spread(docs.select("doc_id", "text"))
     spark = docs.sparkSession
     known = docs.filter("doc_id is not null")
-    sketch = known.mapInArrow(_sketches(n, num, den, False), SKETCH).drop("tokens")
-    sketch = materialize(sketch, "sketch")
+    sketch = materialize(known.mapInArrow(_sketches(n), SKETCH), "sketch")
     full = sketch.filter("n_shingles > 0")
-    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    members = materialize(
-        full.select("doc_id", "n_shingles", "fp1", "fp2").join(classes.hint("merge"), ["fp1", "fp2"]).select("doc_id", "n_shingles", "rep"),
-        "members",
+    classes = materialize(
+        full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "classes"
     )
 
-    # Tokens that more than one class has.
-    per_token = Window.partitionBy("token")
-    rows = known.mapInArrow(_sketches(n, num, den, True), SKETCH).select(F.explode("tokens").alias("token"), "doc_id")
-    twice = rows.select("*", F.count("*").over(per_token).alias("c")).filter("c > 1").drop("c")
-    of_class = twice.join(members.select("doc_id", "n_shingles", "rep").distinct().hint("merge"), "doc_id").repartition("token")
-    of_class = of_class.groupBy("token", "rep").agg(F.max("n_shingles").alias("size"))
-    shared = materialize(
-        of_class.select("*", F.count("*").over(per_token).alias("c")).filter("c > 1"), "shared-tokens"
+    # N-grams that more than one class has.
+    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_grams))
+    entries = known.mapInArrow(_entries(n, 4 * tasks), ENTRIES).repartition(tasks, "bucket")
+    found = entries.mapInArrow(_shared, "fp1 long, grams array<long>").groupBy("fp1").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("grams")
+    )
+    # What links with another set shares num / den of its n-grams with it.
+    sets = materialize(
+        found.join(classes.hint("merge"), "fp1").filter(F.size("grams") * den >= F.col("size") * num).select("rep", "size", "grams"),
+        "sets",
     )
-
     release(spark)
 
-    # A class joins the group of its most frequent token.
-    chosen = shared.groupBy("rep").agg(
-        F.max(F.struct("c", "token")).alias("best"), F.first("size").alias("size")
-    ).select("rep", "size", F.col("best.token").alias("gid"))
-    chosen = materialize(chosen, "groups")
+    # The same among those that are left, rarest first; the least n-gram is the group.
+    each = sets.select("rep", "size", F.explode("grams").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    ranked = each.join(often.hint("merge"), "token").groupBy("rep").agg(
+        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("ranked")
+    ).filter(F.size("ranked") * den >= F.col("size") * num)
+    needed = F.ceil(F.col("size") * num / F.lit(den))
+    chosen = materialize(ranked.select(
+        "rep", "size", F.array_min("ranked.token").alias("gid"),
+        F.col("ranked.token").alias("tokens"),
+        (F.size("ranked") - needed + 1).cast("int").alias("rare"),
+    ).withColumn("tokens", F.slice("tokens", F.lit(1), F.col("rare"))).drop("rare"), "groups")
     groups = chosen.groupBy("gid").agg(
         F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("low"), F.max("size").alias("high")
     ).withColumn("blocks", F.ceil(F.col("total") / block_tokens).cast("int"))
-    ids = chosen.select(F.col("rep").alias("doc_id")).hint("merge")
-    grams = materialize(
-        known.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, grams array<long>"), "sets"
-    )
-    release(spark)
     # A large group is cut into blocks; each pair of blocks is one piece of work.
-    placed = materialize(chosen.join(groups, "gid").select(
-        "gid", "rep", "n", "low", "high", "blocks",
+    placed = materialize(chosen.drop("tokens").join(groups.hint("merge"), "gid").select(
+        "gid", "rep", "size", "n", "low", "high", "blocks",
         F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
     ), "placed")
+    release(spark)
 
     def verified(work: DataFrame) -> DataFrame:
-        full_rows = work.hint("merge").join(grams, "id").select("gid", "a", "b", "role", "id", "grams")
-        ordered = full_rows.repartition("gid", "a", "b").sortWithinPartitions("gid", "a", "b", "role", "id")
+        rows = work.hint("merge").join(sets.withColumnRenamed("rep", "id"), "id")
+        rows = rows.select("gid", "a", "b", "role", "id", "size", "grams")
+        ordered = rows.repartition("gid", "a", "b").sortWithinPartitions("gid", "a", "b", "role", "id")
         return ordered.mapInArrow(_verify(num, den), "a long, b long")
 
     inner = placed.filter("n > 1").select(
@@ -349,70 +357,46 @@ def ngram_jaccard(
         ))).alias("at"),
     ).select("gid", "at.a", "at.b", "at.role", F.col("rep").alias("id"))
     within = materialize(components(verified(inner)), "within-groups")
+    release(spark)
 
-    def hanging_together(found: DataFrame) -> DataFrame:
-        """Component of every class, and the first and last component of its group."""
-        known_so_far = placed.join(found, placed.rep == found.id, "left").select(
-            "gid", "rep", "n", "low", "high", F.coalesce("component_id", "rep").alias("component")
-        )
-        spread_of = known_so_far.groupBy("gid").agg(F.min("component").alias("first"), F.max("component").alias("last"))
-        return materialize(known_so_far.join(spread_of, "gid"), "known-so-far")
-
-    # The matrix: a group's union of tokens. Of two groups the smaller one's members are
-    # queries; a group that hangs together with the query already need not be asked.
-    after_groups = hanging_together(within)
-    tagged = shared.select("token", "rep", "size").join(after_groups.hint("merge"), "rep")
-    tagged = tagged.withColumn("least", F.min("gid").over(per_token)).withColumn("most", F.max("gid").over(per_token))
-    crossing = tagged.filter("least < most")
-    matrix = crossing.groupBy("token", F.col("gid").alias("other")).agg(
-        *[F.first(c).alias(f"other_{c}") for c in ("n", "low", "high", "first", "last")]
-    )
-    asked = crossing.select("token", "rep", "size", "gid", "n", "component").join(matrix.hint("merge"), "token").filter(
-        "(n < other_n or (n = other_n and gid < other)) and not (other_first = component and other_last = component)"
+    # Component of every class, and the first and last component of its group.
+    so_far = placed.join(within.hint("merge"), placed.rep == within.id, "left").select(
+        "gid", "rep", "n", "low", "high", "blocks", F.coalesce("component_id", "rep").alias("component")
     )
-    common = asked.groupBy("rep", "other").agg(
-        F.first("size").alias("size"), F.first("other_low").alias("low"), F.first("other_high").alias("high"),
-        F.count("*").alias("common"),
+    reach = so_far.groupBy("gid").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    so_far = materialize(so_far.join(reach.hint("merge"), "gid"), "so-far")
+
+    # The matrix, by the tokens that may be looked up. Of two groups the smaller one's members
+    # are queries; a group that hangs together with the query already need not be asked.
+    asking = so_far.join(chosen.select("rep", "size", F.explode("tokens").alias("token")).hint("merge"), "rep")
+    matrix = asking.groupBy("token", F.col("gid").alias("other")).agg(
+        *[F.first(c).alias(f"other_{c}") for c in ("n", "low", "high", "first", "last", "blocks")]
     )
-    opened = materialize(common.mapInArrow(_qualifies(num, den), "rep long, other long, common long"), "opened")
-    release(spark)
-
-    def visited(pairs: DataFrame) -> DataFrame:
-        hosts = placed.join(pairs.select(F.col("other").alias("gid")).distinct(), "gid", "left_semi").select(
-            "gid", F.col("block").alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("role"), F.col("rep").alias("id")
-        )
-        visits = pairs.join(groups.select(F.col("gid").alias("other"), "blocks"), "other").select(
-            F.col("other").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
-            F.lit(-1).alias("b"), F.lit(1).alias("role"), F.col("rep").alias("id"),
-        )
-        return verified(hosts.union(visits))
-
-    # Each query goes to the group with the most common tokens first; then to the others
-    # that it does not hang together with by now.
-    best = opened.groupBy("rep").agg(F.max(F.struct("common", "other")).alias("b")).select("rep", F.col("b.other").alias("other"))
-    best = materialize(best, "first-visits")
-    edges = within.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-    joined = materialize(components(visited(best).union(edges)), "after-first-visits")
+    opened = asking.select("token", "rep", "size", "gid", "n", "component").join(matrix.hint("merge"), "token").filter(
+        (F.expr("(n < other_n or (n = other_n and gid < other)) and not (other_first = component and other_last = component)"))
+        & (F.col("other_high") * den >= F.col("size") * num) & (F.col("other_low") * num <= F.col("size") * den)
+    ).groupBy("rep", "other").agg(F.first("other_blocks").alias("blocks"))
+    opened = materialize(opened, "opened")
     release(spark)
-    after_best = hanging_together(joined)
-    heads = after_best.select(F.col("gid").alias("other"), "first", "last").distinct()
-    rest = (
-        opened.join(best, ["rep", "other"], "left_anti").join(after_best.select("rep", "component"), "rep").join(heads, "other")
-        .filter("not (first = component and last = component)").select("rep", "other")
+    hosts = placed.join(opened.select(F.col("other").alias("gid")).distinct().hint("merge"), "gid", "left_semi").select(
+        "gid", F.col("block").alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("role"), F.col("rep").alias("id")
     )
-    rest = materialize(rest, "other-visits")
-    edges = joined.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-    # In rounds by group, so that only a part of the sets is on its way at a time.
-    for i in range(rounds):
-        links = visited(rest.filter(F.pmod(F.xxhash64("other"), F.lit(rounds)) == i))
-        edges = edges.union(materialize(links, "links"))
-        release(spark)
-    found = components(edges)
-    linked = members.join(found, members.rep == found.id, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")
+    visits = opened.select(
+        F.col("other").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"),
+        F.lit(-1).alias("b"), F.lit(1).alias("role"), F.col("rep").alias("id"),
+    )
+    edges = materialize(verified(hosts.union(visits)), "links").union(
+        within.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    )
+    discard(sets, chosen, placed, so_far, opened)
+    release(spark)
+    joined = materialize(components(edges), "components")
+    named = classes.select("fp1", "fp2", "rep").join(joined.hint("merge"), F.col("rep") == F.col("id"), "left").select(
+        "fp1", "fp2", F.coalesce("component_id", "rep").alias("component_id")
     )
+    linked = full.join(named.hint("merge"), ["fp1", "fp2"]).select("doc_id", "n_shingles", "component_id")
     empty = sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    unnamed = docs.filter("doc_id is null").mapInArrow(_sketches(n, num, den, False), SKETCH).select(
+    unnamed = docs.filter("doc_id is null").mapInArrow(_sketches(n), SKETCH).select(
         "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")
     )
     return linked.union(empty).union(unnamed)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftguard.llm.decontaminate import find_benchmark
 from siftguard.llm.host_quality import judge
-from siftguard.llm.jaccard import Bands, ngram_jaccard
+from siftguard.llm.jaccard import ngram_jaccard
 from siftguard.llm.licenses import NOTICES, bigrams, scan_licenses
 from siftguard.llm.lines import drop_common_lines
 from siftguard.llm.mixing import mix_sources, sizes, targets
@@ -103,16 +103,30 @@ def test_jaccard_edges(spark, nothing):
     same(got, [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (None, 1, None)])
 
 
-@pytest.mark.parametrize("size", [6, 7, 9, 20, 40, 150, 2000])
-def test_bands_leave_a_common_segment(size):
-    bands = Bands(85, 100)
-    for larger in {size, size + 1, bands._largest(size)}:
-        if larger > bands._largest(size):
-            continue
-        both = [b for b, _, _ in bands.of(size) if b in {x for x, _, _ in bands.of(larger)}]
-        own = max(bands.of(size))
-        assert own[0] in both
-        assert bands.needed(own[0], size, size, larger, own[2]) >= 1
+def families(seed, n, length=80):
+    """Families of near copies, a passage that very many other texts share, and templates filled in."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage, template = [[word() for _ in range(length // 2)] for _ in range(2)]
+    rows = []
+    for f in range(n // 20):
+        base = [word() for _ in range(rng.randrange(20, length))]
+        for _ in range(rng.choice([1, 2, 5, 30])):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    for _ in range(n // 4):
+        rows.append((len(rows), " ".join([word() for _ in range(length // 2)] + passage)))
+        rows.append((len(rows), " ".join(template + [word() for _ in range(rng.randrange(2, 12))])))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "num", "block", "grams"), [(4, 85, 10**6, 10**6), (5, 80, 600, 300), (1, 60, 10**6, 50)])
+def test_jaccard_of_families(spark, n, num, block, grams):
+    rows = families(num, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same(found(ngram_jaccard(docs, n=n, num=num, block_tokens=block, task_grams=grams)), brute.jaccard(rows, n, num, 100))
 
 
 # --- licences
