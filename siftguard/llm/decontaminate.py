@@ -144,8 +144,8 @@ def _scan(shared, last: bool):
                         part.column(0), part.column(1),
                         pa.array([[{"begin": b, "words": w} for b, w in sorted(h)] for h in hits],
                                  pa.list_(pa.struct([("begin", pa.int32()), ("words", pa.int32())]))),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    ], ["doc_id", "text", "hits", "items"])
+                        pa.array([sorted(x) for x in items], pa.list_(pa.string())), *part.columns[4:],
+                    ], ["doc_id", "text", "hits", "items", *part.schema.names[4:]])
                     continue
                 n_words = np.diff(piece.first)
                 n_hit = []
@@ -160,13 +160,15 @@ def _scan(shared, last: bool):
                     pa.array([len(x) for x in items], pa.int64()),
                     pa.array([sha256(x.encode()).hexdigest() for x in names], pa.string()),
                     pa.array([x > 0 for x in n_hit], pa.bool_()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+                    pa.array([sorted(x) for x in items], pa.list_(pa.string())), *part.columns[4:],
+                ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *part.schema.names[4:]])
 
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 16_000_000) -> DataFrame:
+def find_benchmark(
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 16_000_000, key: tuple[str, ...] = ()
+) -> DataFrame:
     """Which words of each document lie in windows of benchmark items.
 
     Words are runs of ASCII letters, digits and all characters beyond ASCII, A-Z
@@ -177,22 +179,24 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     empty texts have no words. Repeated rows and ids are independent rows; repeated items
     count by id; an item without an id counts under the empty string. Other columns are
     ignored. The benchmark goes to the tasks in blocks of about ``block_bytes`` of text,
-    one after the other, so any size of it is searched.
+    one after the other, so any size of it is searched. Long columns named in ``key`` are
+    returned as well.
     """
+    carried = "".join(f", `{k}` long" for k in key)
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    scanned = spread(docs.select("doc_id", "text")).select(
+    scanned = spread(docs.select("doc_id", "text", *key)).select(
         "*", F.expr("CAST(NULL AS array<struct<begin: int, words: int>>)").alias("hits"),
         F.expr("CAST(NULL AS array<string>)").alias("items"),
-    )
+    ).select("doc_id", "text", "hits", "items", *key)
     for i in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in block], width))
         if i < blocks - 1:
-            scanned = materialize(scanned.mapInArrow(_scan(shared, False), "doc_id long, text string, " + HITS), "hits")
+            scanned = materialize(scanned.mapInArrow(_scan(shared, False), "doc_id long, text string, " + HITS + carried), "hits")
     return scanned.mapInArrow(
         _scan(shared, True),
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>",
+        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>" + carried,
     )

@@ -79,13 +79,17 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part.column(0), part.column(1), pa.array(np.diff(piece.first), pa.int64()),
                 pa.array(_per_doc(letters, piece.offsets)), pa.array(_per_doc(SYMBOLS[piece.data], piece.offsets)),
                 pa.array(lines, pa.int64()), pa.array(copies, pa.int64()),
-                pa.array(_repeat_words(piece.hashes(), piece.docs(), piece.first)),
-            ], ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"])
+                pa.array(_repeat_words(piece.hashes(), piece.docs(), piece.first)), *part.columns[3:],
+            ], [
+                "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
+                *part.schema.names[3:],
+            ])
 
 
-def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts that the rules use, one row per document."""
-    return spread(docs.select("doc_id", F.col(host).alias("host"), "text")).mapInArrow(_measure, MEASURES)
+def measure(docs: DataFrame, host: str = "source", key: tuple[str, ...] = ()) -> DataFrame:
+    """Counts that the rules use, one row per document; long columns of ``key`` go along."""
+    schema = MEASURES + "".join(f", `{k}` long" for k in key)
+    return spread(docs.select("doc_id", F.col(host).alias("host"), "text", *key)).mapInArrow(_measure, schema)
 
 
 def _shrunk(failed: Column, n: Column, rate: Column, strength: Column) -> Column:
@@ -131,7 +135,8 @@ def host_rates(measured: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, host: str = "source", rules: dict[str, str] = RULES, block: float = 0.5, enforce: float = 0.02
+    docs: DataFrame, host: str = "source", rules: dict[str, str] = RULES, block: float = 0.5, enforce: float = 0.02,
+    key: tuple[str, ...] = (),
 ) -> DataFrame:
     """Verdict on every document by its host's record.
 
@@ -143,14 +148,15 @@ def judge(
     for these, for all documents of hosts whose shrunk share of failing documents is at least
     ``block``, and for documents that fail a rule whose shrunk share at their host is at
     least ``enforce``. Null and empty texts have no words and fail. A null host is a host;
-    repeated rows and ids count each; other columns are ignored.
+    repeated rows and ids count each; other columns are ignored. Long columns named in ``key``
+    are returned as well, so that a verdict can be joined to its row.
     """
-    measured = materialize(measure(docs, host), "quality-measures")
+    measured = materialize(measure(docs, host, key), "quality-measures")
     rates = host_rates(measured, rules).withColumnRenamed("host", "of")
     base = " or ".join(f"({rules[name]})" for name in BASE)
     enforced = reduce(lambda a, b: a | b, [F.expr(rule) & (F.col(f"rate_{x}") >= enforce) for x, rule in rules.items()])
     return measured.join(rates, F.col("host").eqNullSafe(F.col("of"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.expr(base).alias("base_failed"),
-        (~F.expr(base) & (F.col("rate_any") < block) & ~enforced).alias("kept"),
+        (~F.expr(base) & (F.col("rate_any") < block) & ~enforced).alias("kept"), *key,
     )

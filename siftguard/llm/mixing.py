@@ -26,13 +26,15 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batch.column(2)):
             part = batch.slice(piece.rows.start, len(piece.rows))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.diff(piece.first), pa.int64())], ["doc_id", "source", "size"]
+                [part.column(0), part.column(1), pa.array(np.diff(piece.first), pa.int64()), *part.columns[3:]],
+                ["doc_id", "source", "size", *part.schema.names[3:]],
             )
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """Words of each document."""
-    return spread(docs.select("doc_id", "source", "text")).mapInArrow(_sizes, "doc_id long, source string, size long")
+def sizes(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Words of each document; long columns of ``key`` go along."""
+    schema = "doc_id long, source string, size long" + "".join(f", `{k}` long" for k in key)
+    return spread(docs.select("doc_id", "source", "text", *key)).mapInArrow(_sizes, schema)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -95,7 +97,7 @@ def apportion(parties: DataFrame, group: list[str], key: str, weight: str, seats
 
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2,
-    block_words: int = 128, shard_words: int = 1_000_000, seed: str = "mix",
+    block_words: int = 128, shard_words: int = 1_000_000, seed: str = "mix", key: tuple[str, ...] = (),
 ) -> DataFrame:
     """Words that the mix takes of every document.
 
@@ -104,20 +106,21 @@ def mix_sources(
     source stand in a seeded order in shards of about ``shard_words``; the words of a shard
     are cut into blocks of ``block_words``, the last one shorter. A null source is a source.
     Documents without words take nothing. Repeated rows and ids are documents of their own;
-    equal rows may swap what they take. Other columns are ignored.
+    equal rows may swap what they take. Other columns are ignored. Long columns named in
+    ``key`` are returned as well.
     """
-    sized = materialize(sizes(docs), "mix-sizes")
+    sized = materialize(sizes(docs, key), "mix-sizes")
     goals = materialize(targets(sized, weights, share, most), "mix-targets")
     name = goals.withColumnRenamed("source", "of")
     joined = sized.join(name, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    lot = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
-    placed = joined.withColumn("key", key).withColumn(
-        "shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % shards
+    placed = joined.withColumn("__lot", lot).withColumn(
+        "shard", F.conv(F.substring("__lot", 1, 8), 16, 10).cast("long") % shards
     )
-    along = Window.partitionBy("src", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("src", "shard").orderBy("__lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = materialize(
-        placed.withColumn("start", F.coalesce(F.sum("size").over(along), F.lit(0).cast("long"))).drop("key"), "mix-shards"
+        placed.withColumn("start", F.coalesce(F.sum("size").over(along), F.lit(0).cast("long"))).drop("__lot"), "mix-shards"
     )
 
     seats = goals.withColumn("all", F.lit(0)).withColumn(
@@ -143,12 +146,12 @@ def mix_sources(
         F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"),
     )
     overlap = F.least(end, (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    parts = touched.join(chosen, ["src", "shard", "block"]).groupBy("src", "shard", "start").agg(F.sum(overlap).alias("part"))
+    parts = touched.join(chosen.hint("merge"), ["src", "shard", "block"]).groupBy("src", "shard", "start").agg(F.sum(overlap).alias("part"))
     rounds = quotas.select("src", "shard", F.floor(F.col("quota") / F.col("blocks")).alias("rounds"))
     sums = (
-        placed.filter("size > 0").join(rounds, ["src", "shard"]).join(parts, ["src", "shard", "start"], "left")
+        placed.filter("size > 0").join(rounds, ["src", "shard"]).join(parts.hint("merge"), ["src", "shard", "start"], "left")
         .withColumn("taken", F.col("rounds") * F.col("size") + F.coalesce("part", F.lit(0).cast("long")))
     )
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "size", "source_size", "target", "taken", *key]
     none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return sums.select(columns).union(none.select(columns))
