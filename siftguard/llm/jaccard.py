@@ -145,44 +145,62 @@ def _flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each class the n-grams that another class has as well; a task holds whole buckets."""
+def _held(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """N-grams and their classes of all rows of a task, by kind."""
     held: dict[int, list] = {0: [], 1: [], 2: []}
     for batch in batches:
         kinds = batch.column(1).to_numpy()
-        for kind in (0, 1, 2):
+        for kind, parts in held.items():
             rows = batch.filter(pa.array(kinds == kind))
             if rows.num_rows:
                 keys, counts = _flat(rows.column(2)).view(np.uint64), _flat(rows.column(3))
                 grams = _flat(rows.column(4)).view(np.uint64)
-                held[kind].append((grams, np.repeat(keys, counts)) if kind != 1 else (grams, grams[:0]))
-    both = {k: tuple(np.concatenate([h[i] for h in v]) if v else np.zeros(0, np.uint64) for i in (0, 1)) for k, v in held.items()}
-    held.clear()
-    out = []
-    for kind in (0, 2):
-        grams, keys = both[kind]
-        order = np.lexsort((keys, grams))
-        grams, keys = grams[order], keys[order]
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (keys[1:] != keys[:-1])
-        grams, keys = grams[new], keys[new]
-        if kind == 0 and len(grams):
+                parts.append((grams, np.repeat(keys, counts)))
+    return {k: tuple(np.concatenate([h[i] for h in v]) if v else np.zeros(0, np.uint64) for i in (0, 1)) for k, v in held.items()}
+
+
+def _distinct(grams: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order of n-grams, then classes."""
+    order = np.lexsort((keys, grams))
+    grams, keys = grams[order], keys[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (keys[1:] != keys[:-1])
+    return grams[new], keys[new]
+
+
+def _shared(buckets: int):
+    """Of each class the n-grams that another class has as well, dealt to buckets by class.
+
+    A task holds whole buckets of n-grams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held(batches)
+        grams, keys = _distinct(*held[0])
+        if len(grams):
             first = np.concatenate(([True], grams[1:] != grams[:-1]))
-            many = ~first | ~np.append(first[1:], True) | np.isin(grams, both[1][0])
+            many = ~first | ~np.append(first[1:], True) | np.isin(grams, held[1][0])
             grams, keys = grams[many], keys[many]
-        out.append((grams, keys))
-    grams, keys = (np.concatenate([x[i] for x in out]) for i in (0, 1))
-    if len(grams):
-        order = np.lexsort((grams, keys))
-        grams, keys = grams[order], keys[order]
-        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        ends = np.append(heads, len(keys))
-        for i in range(0, len(heads), 10_000):
-            part = ends[i: i + 10_001]
-            if len(part) > 1:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[part[:-1]].view(np.int64)), lists(grams[part[0]: part[-1]], part - part[0])], ["fp1", "grams"]
-                )
+        others = _distinct(*held[2])
+        grams, keys = np.concatenate([grams, others[0]]), np.concatenate([keys, others[1]])
+        if len(grams):
+            yield _dealt(0, keys, grams, (mix(keys) % np.uint64(buckets)).astype(np.int64))
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per class with its shared n-grams in order; a task holds whole buckets of classes."""
+    keys, grams = _distinct(*reversed(_held(batches)[0]))
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(heads, len(keys))
+    # Spark's order of longs.
+    for i in range(0, len(heads), 10_000):
+        part = ends[i: i + 10_001]
+        some = np.concatenate([np.sort(grams[a:b].view(np.int64)) for a, b in zip(part[:-1].tolist(), part[1:].tolist())])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[part[:-1]].view(np.int64)), lists(some, part - part[0])], ["fp1", "grams"]
+        )
 
 
 def _links_to(grams, size, flat, heads, sizes, num, den) -> np.ndarray:
@@ -311,9 +329,8 @@ def ngram_jaccard(
     total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_grams))
     entries = known.mapInArrow(_entries(n, 4 * tasks), ENTRIES).repartition(tasks, "bucket")
-    found = entries.mapInArrow(_shared, "fp1 long, grams array<long>").groupBy("fp1").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("grams")
-    )
+    by_class = entries.mapInArrow(_shared(4 * tasks), ENTRIES).repartition(tasks, "bucket")
+    found = by_class.mapInArrow(_gathered, "fp1 long, grams array<long>")
     # What links with another set shares num / den of its n-grams with it.
     sets = materialize(
         found.join(classes.hint("merge"), "fp1").filter(F.size("grams") * den >= F.col("size") * num).select("rep", "size", "grams"),
