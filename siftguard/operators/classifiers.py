@@ -18,8 +18,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftguard.operators.bitmaps import build_index
 from siftguard.operators.metrics import binary_metrics
-from siftguard.operators.rule_search import SearchSettings, evolve_rules, survey_columns
+from siftguard.operators.rule_search import SearchSettings, evolve_many, survey_columns
 from siftguard.operators.rules import apply_rule_set
 from siftguard.operators.tfidf import assemble_features, tfidf_fit, vocabulary_rows, word_columns
 from siftguard.session import keep_hot
@@ -115,30 +116,28 @@ def lambda_sensitivity(
 ) -> DataFrame:
     """Test F1 and number of rules per complexity weight and fold.
 
-    ``df`` has a ``fold`` column; the runs are independent and share Spark's cores. With a
+    ``df`` has a ``fold`` column; folds run side by side, all weights of a fold in the same jobs. With a
     column ``tokens`` the weights of ``size`` words, learnt on the training folds, are searched too.
     """
     base = settings or SearchSettings()
 
-    def prepare(fold: int):
+    def one_fold(fold: int) -> list[tuple]:
         rows, names = df, features
         if "tokens" in df.columns:
             rows, words = word_columns(df, vocabulary_rows(tfidf_fit(df.filter(F.col("fold") != fold), size)))
             rows, names = keep_hot(rows), [*words, *features]
-        return rows, names, survey_columns(rows.filter(F.col("fold") != fold), label, names, base)
-
-    def one(task: tuple[float, int]) -> tuple:
-        lam, fold = task
-        s = replace(base, lam=lam, seed=base.seed + fold)
-        rows, names, survey = prepared[fold]
-        rules = evolve_rules(rows.filter(F.col("fold") != fold), label, names, s, survey).rules
-        scored = apply_rule_set(rows.filter(F.col("fold") == fold), rules)
-        f1 = binary_metrics(scored, label, "predicted").first()["f1"]
-        return (lam, fold, f1, len(rules))
-
-    tasks = [(lam, fold) for lam in lams for fold in range(folds)]
-    with ThreadPool(8) as pool:
-        # What does not depend on lambda is found once per fold.
-        prepared = pool.map(prepare, range(folds))
-        rows = pool.map(one, tasks)
+        train = rows.filter(F.col("fold") != fold)
+        index = build_index(train, label, names)
+        # What does not depend on lambda is found once; the weights go through the generations in step.
+        survey = survey_columns(train, label, names, base, index)
+        found = evolve_many(index, survey, [replace(base, lam=lam, seed=base.seed + fold) for lam in lams])
+        out = []
+        for lam, result in zip(lams, found):
+            scored = apply_rule_set(rows.filter(F.col("fold") == fold), result.rules)
+            out.append((lam, fold, binary_metrics(scored, label, "predicted").first()["f1"], len(result.rules)))
+        index.blocks.unpersist()
+        return out
+
+    with ThreadPool(folds) as pool:
+        rows = [row for found in pool.map(one_fold, range(folds)) for row in found]
     return df.sparkSession.createDataFrame(rows, "lam double, fold int, f1 double, n_rules int")

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftguard.operators.bitmaps import BitmapIndex, build_index, class_parts, open_pairs
+from siftguard.operators.columns import Counted, column_pairs, quantiles, sketch
 from siftguard.operators.metrics import f1_column
-from siftguard.operators.running import percentiles
 
 Condition = tuple[str, int, float]
 Rule = list[Condition]
@@ -195,28 +196,56 @@ def rule_interpretability(df: DataFrame, rules: RuleSet) -> DataFrame:
     )
 
 
-def class_statistics(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Per feature: class means, deviation, median and range, in one pass."""
+STATISTICS = (
+    "feature string, mean_pos double, mean_neg double, std double, median double, lowest double, highest double"
+)
+
+
+def class_statistics(df: DataFrame, label: str, features: list[str], medians: bool = True) -> DataFrame:
+    """Per feature: class means, deviation, median (the lower one) and range, in order of the list.
+
+    Aggregates over the pairs of the values that are not zero; the median by a sketch and
+    an exact second pass. NULL values and, for the class means, rows without a label do not count.
+    """
     y = F.col(label)
-    aggs = []
-    for f in features:
-        aggs.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.avg(F.when(y == 1, F.col(f))).alias("mean_pos"),
-                F.avg(F.when(y == 0, F.col(f))).alias("mean_neg"),
-                F.stddev_pop(f).alias("std"),
-                F.percentile_approx(f, 0.5, 10_000).alias("median"),
-                F.min(f).alias("lowest"),
-                F.max(f).alias("highest"),
-            )
-        )
-    return df.agg(F.array(*aggs).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    n, n_pos, n_neg = df.agg(F.count("*"), F.count_if(y == 1), F.count_if(y == 0)).first()
+    pairs = column_pairs(df, features, y.alias("y"))
+    y, v = F.col("y"), F.col("v")
+    parts = pairs.groupBy("f").agg(
+        F.count("v").alias("pairs"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.struct(F.sum(F.when(y == 1, v)).alias("pos"), F.sum(F.when(y == 0, v)).alias("neg")).alias("sums"),
+        F.struct(F.count_if((y == 1) & v.isNull()).alias("pos"), F.count_if((y == 0) & v.isNull()).alias("neg"), F.count_if(v.isNull()).alias("all")).alias("nulls"),
+        F.count_if(v < 0).alias("below"), *([sketch(v).alias("grid")] if medians else []),
+    )
+    # One row per column.
+    seen = {r["f"]: r for r in parts.collect()}
+    rows, counted = [], []
+    for f, name in enumerate(features):
+        r = seen.get(f)
+        pairs_n, nulls = (r["pairs"], r["nulls"]) if r else (0, {"pos": 0, "neg": 0, "all": 0})
+        zeros = n - pairs_n - nulls["all"]
+        sums = {side: (r["sums"][side] or 0.0) if r else 0.0 for side in ("pos", "neg")}
+        mean, var = ((r["mean"] or 0.0), (r["var"] or 0.0)) if r else (0.0, 0.0)
+        whole = pairs_n + zeros
+        spread = var * pairs_n + mean * mean * pairs_n * zeros / whole if whole else None
+        ends = [x for x in ((r["lo"], r["hi"]) if r else ()) if x is not None] + ([0.0] if zeros else [])
+        known = lambda total, side, of: total / (of - nulls[side]) if of > nulls[side] else None  # noqa: E731, B023
+        nan = any(x != x for x in ends)
+        rows.append([
+            name, known(sums["pos"], "pos", n_pos), known(sums["neg"], "neg", n_neg),
+            None if spread is None else (spread / whole) ** 0.5, None,
+            min((x for x in ends if x == x), default=float("nan") if nan else None), float("nan") if nan else max(ends, default=None),
+        ])
+        counted.append(Counted(f, pairs_n, r["below"] if r else 0, zeros, r["grid"] if r and medians else None))
+    if medians:
+        for f, cuts in quantiles(pairs.filter("v is not null").select("f", "v"), counted, [0.5], lower=True).items():
+            rows[f][4] = cuts[0]
+    return df.sparkSession.createDataFrame(rows, STATISTICS)
 
 
 def feature_separation(df: DataFrame, label: str, features: list[str], top: int = 30) -> DataFrame:
     """Distance of the class means in deviations, largest first."""
-    stats = class_statistics(df, label, features)
+    stats = class_statistics(df, label, features, medians=False)
     distance = F.abs(F.col("mean_pos") - F.col("mean_neg")) / (F.col("std") + F.lit(1e-9))
     return (
         stats.withColumn("separation", distance)
@@ -235,35 +264,41 @@ def midpoint_rules(separation: DataFrame) -> DataFrame:
     )
 
 
+THRESHOLDS = "feature string, op int, kind string, thr double, open_positives long"
+POINTS = {"p10": 0.1, "p25": 0.25, "p50": 0.5}
+
+
+def index_thresholds(index: BitmapIndex, covered: RuleSet | None = None) -> list[tuple]:
+    """Rows of ``threshold_candidates`` from a bitmap index, in two jobs."""
+    parts, n_open, n_neg = class_parts(index, covered or [])
+    counted, means = [], []
+    for f in range(len(index.features)):
+        r = parts.get(f)
+        seen1, seen0 = n_open - (r["no1"] if r else 0), n_neg - (r["no0"] if r else 0)
+        pairs = r["pairs"] if r else 0
+        counted.append(Counted(f, pairs, r["below"] if r else 0, seen1 - pairs, r["grid"] if r else None))
+        means.append([(x or 0.0) / seen if seen else None for x, seen in ((r["s1"] if r else 0.0, seen1), (r["s0"] if r else 0.0, seen0))])
+    cuts = quantiles(open_pairs(index, covered or []), counted, list(POINTS.values()))
+    rows = []
+    for f, (m1, m0) in enumerate(means):
+        op = 1 if m1 is not None and m0 is not None and m1 > m0 else -1
+        middle = None if m1 is None or m0 is None else (m1 + m0) / 2
+        rows.append((index.features[f], op, "midpoint", middle, n_open))
+        for kind, cut in zip(POINTS, cuts.get(f, [None] * len(POINTS))):
+            rows.append((index.features[f], op, kind, None if cut is None else cut - 1e-9 * op, n_open))
+    return rows
+
+
 def threshold_candidates(df: DataFrame, label: str, features: list[str], covered: Column | None = None) -> DataFrame:
     """Conditions to try on positives that no rule covers yet.
 
     Per feature: the midpoint of uncovered positives and negatives, and the 10th,
     25th and 50th percentile of the uncovered positives, moved by 1e-9 so that
-    the strict comparison keeps the percentile itself. Percentiles are exact: values are
-    counted per feature, and the two values around each rank are interpolated.
+    the strict comparison keeps the percentile itself. Percentiles are exact and
+    interpolated. All of it are aggregates over the pairs of the values that are not zero.
     """
     y = F.col(label)
-    open_pos = (y == 1) & ~(covered if covered is not None else F.lit(False))
-    means = []
-    for f in features:
-        means.append(F.struct(
-            F.lit(f).alias("feature"), F.avg(F.when(open_pos, F.col(f))).alias("m1"), F.avg(F.when(y == 0, F.col(f))).alias("m0"),
-        ))
-    one = df.agg(F.count_if(open_pos).alias("open_positives"), F.array(*means).alias("s"))
-    one = one.select("open_positives", F.explode("s").alias("s")).select("open_positives", "s.*")
-    values = df.filter(open_pos).select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features
-    ])).alias("x")).select("x.*").filter("v is not null")
-    points = {"p10": 0.1, "p25": 0.25, "p50": 0.5}
-    cuts = percentiles(values, ["feature"], "v", list(points.values()))
-    joined = one.join(cuts, "feature", "left")
-    op = F.when(F.col("m1") > F.col("m0"), 1).otherwise(-1)
-    thresholds = F.array(
-        (F.col("m1") + F.col("m0")) / 2, *[F.col("cuts")[i] - F.lit(1e-9) * op for i in range(len(points))]
-    )
-    kinds = F.array(*[F.lit(k) for k in ("midpoint", *points)])
-    return joined.select(
-        "open_positives", "feature", op.alias("op"),
-        F.explode(F.arrays_zip(kinds.alias("kind"), thresholds.alias("thr"))).alias("c"),
-    ).select("feature", "op", "c.kind", "c.thr", "open_positives")
+    open_pos = F.coalesce((y == 1) & ~(covered if covered is not None else F.lit(False)), F.lit(False))
+    marked = df.select(*features, open_pos.cast("int").alias("__open"), y.alias("__y")).filter("__open = 1 or __y = 0")
+    found = index_thresholds(build_index(marked, "__open", features))
+    return df.sparkSession.createDataFrame(found, THRESHOLDS)

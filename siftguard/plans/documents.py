@@ -702,7 +702,7 @@ def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Weights of 300 words and identifier features of the labelled documents, and their names."""
     rows = keep_hot(labelled_tokens(spark, sf_dir))
     wide, words = tfidf.word_columns(rows, tfidf.vocabulary_rows(tfidf.tfidf_fit(rows)))
-    return keep_hot(wide), [*words, *FEATURE_NAMES]
+    return keep_hot(wide, 1_000), [*words, *FEATURE_NAMES]
 
 
 @query("sequential_covering")
