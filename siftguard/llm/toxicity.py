@@ -84,7 +84,10 @@ def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(sample: DataFrame, least: int = 4, odds: float = 6.0, most: int = 4_096) -> tuple[np.ndarray, np.ndarray]:
-    """Stem hashes, sorted, and weights: those with the strongest evidence, at most ``most``."""
+    """Stem hashes, sorted, and weights: those with the strongest evidence, at most ``most``.
+
+    Too few toxic documents leave the lexicon empty; its features are zero then.
+    """
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return np.zeros(0, np.uint64), np.zeros(0)
@@ -186,16 +189,19 @@ def _features(stems: np.ndarray, weights: np.ndarray, persons: np.ndarray):
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.3,
-    training_rows: int = 12_000, trees: int = 20, depth: int = 4,
+    training_rows: int = 12_000, trees: int = 20, depth: int = 4, lexicon: int = 4_096,
 ) -> DataFrame:
     """Calibrated probability that a document is toxic.
 
     Returns, per input row, doc_id, held_out, score (0 to 1) and predicted (1 from
     ``threshold``). The model learns from at most ``training_rows`` labelled documents that
-    are not held out, chosen by hash: seven tenths for the lexicon and the trees, the rest for
-    the calibration. Ids, sources, languages and labels are no features. Null and empty texts
-    have features of zero and get the score of those. Without training rows of both classes
-    every score is the share of toxic ones, 0 if there are none. Unlabelled, repeated and
+    are not held out, chosen by hash: seven tenths for the lexicon (at most ``lexicon`` stems,
+    those with the strongest evidence) and the trees, the rest for the calibration. A part
+    that lacks one of the classes cannot do its work; all training rows do it then, and the
+    trees' own rows calibrate them. Ids, sources, languages and labels are no features. Null and
+    empty texts have features of zero and get the score of those. Only without training rows of
+    both classes there is nothing to learn: every score is the share of toxic ones, 0 if there
+    are none. Unlabelled, repeated and
     null ids are scored like any; repeated labels count each; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -204,20 +210,25 @@ def score_toxicity(
     fold_out = held_out(folds, fold)
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     persons = np.sort(next(pieces(pa.array([" ".join(SECOND_PERSON)]), _OUTSIDE)).hashes())
-    stems, weights = learn_lexicon(sample.filter("part < 7"))
-    if not len(stems):
+    if not counts.get(0) or not counts.get(1):
         share = F.lit(float(counts.get(1, 0) / max(sum(counts.values()), 1)))
         return out.select("doc_id", fold_out.alias("held_out"), share.alias("score"), (share >= threshold).cast("int").alias("predicted"))
+
+    def part(where: str) -> DataFrame:
+        rows = sample.filter(where)
+        return rows if len({r[0] for r in rows.select("label").distinct().collect()}) == 2 else sample
+
+    stems, weights = learn_lexicon(part("part < 7"), most=lexicon)
     kernel = _features(stems, weights, persons)
     rows = materialize(
         sample.select("doc_id", "text", "label", "part").mapInArrow(
             kernel, "doc_id long, label int, part int, features array<double>")
         .withColumn("features", array_to_vector("features")).coalesce(4), "toxic-features",
     )
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1).fit(rows.filter("part < 7"))
+    sample = rows
+    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=1).fit(part("part < 7"))
     raw = vector_to_array("probability")[1]
-    rest = rows.filter("part >= 7")
-    rest = rest if len({r[0] for r in rest.select("label").distinct().collect()}) == 2 else rows
+    rest = part("part >= 7")
     scored = model.transform(rest).select(F.col("label").cast("double").alias("label"), raw.alias("raw"))
     steps = IsotonicRegression(featuresCol="raw", labelCol="label").fit(scored)
     features = out.mapInArrow(kernel, "doc_id long, features array<double>").withColumn("features", array_to_vector("features"))
