@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftguard.session import spread
+from siftguard.session import materialize, spread
 
 # Notices by licence; fixed values, given as they are worded in practice.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -217,56 +217,63 @@ def scan_texts(
     )
     # A window shares at least num / (2 den - num) of a notice's bigrams; most texts do not as a whole.
     shares = lambda t: (F.size(t["grams"]) > 0) & (F.size(F.array_intersect("some", t["grams"])) >= t["least"])
+    texts = materialize(
+        by_line.select(F.monotonically_increasing_id().alias("row"), "doc_id", "counts", pairs.alias("all")), "licence-texts"
+    )
+    of = ["row", "license", "notice"]
     opened = (
-        by_line.select("doc_id", "counts", pairs.alias("all"))
-        .select("doc_id", "counts", "all", F.array_intersect("all", every).alias("some"))
-        .select("doc_id", "counts", "all", F.explode(F.filter(known, shares)).alias("t"))
+        texts.select("row", F.array_intersect("all", every).alias("some"))
+        .select("row", F.explode(F.filter(known, shares)).alias("t")).select("row", "t.license", "t.notice", "t.grams", "t.most")
+    )
+    # Of equal bigrams a window counts the one whose last occurrence lies before the window.
+    again = Window.partitionBy("row", "gram").orderBy("at")
+    places = texts.select("row", F.posexplode("all").alias("i", "gram")).select("row", "gram", (F.col("i") + 1).alias("at"))
+    places = places.withColumn("before", F.coalesce(F.lag("at").over(again), F.lit(0)))
+    marked = places.join(opened, "row").select(
+        *of, "at", "before", F.array_contains("grams", F.col("gram")).alias("hit"), F.size("grams").alias("size"), "most"
+    )
+    # Every place with what follows it, as far as the longest window reaches.
+    longest = max([1, *((2 * den - num) * len(_words(notices[name][i] if name else "")) // num - 1 for name, i, _ in templates)])
+    along = Window.partitionBy(*of).orderBy("at")
+    ahead = F.collect_list(F.struct("at", "before", "hit")).over(along.rowsBetween(0, longest - 1))
+    starts = marked.withColumn("ahead", ahead).filter("hit").withColumn("ahead", F.slice("ahead", F.lit(1), F.col("most")))
+    size = F.col("size")
+    nothing = F.struct(
+        *[F.lit(0).alias(c) for c in ("n", "shared", "end", "last", "best_n", "best_shared")], F.lit(0.0).alias("dice")
     )
-    hits = opened.withColumn("at", F.filter(
-        F.sequence(F.lit(1), F.size("all")), lambda i: F.array_contains("t.grams", F.element_at("all", i))
-    ))
-    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.transform(
-        F.filter(
-            F.slice("at", i + F.col("t.least") - 1, F.col("t.most")),
-            lambda e: e - F.element_at("at", i) < F.col("t.most"),
-        ),
-        lambda e: F.struct(F.element_at("at", i).alias("first"), e.alias("last")),
-    )))
-
-    def sized(w: Column) -> Column:
-        held = F.slice("all", w["first"], w["last"] - w["first"] + 1)
-        n, shared = F.size(F.array_distinct(held)), F.size(F.array_intersect(held, F.col("t.grams")))
-        return F.struct(w["first"].alias("first"), w["last"].alias("last"), n.alias("n"), shared.alias("shared"))
-
-    size = F.size("t.grams")
-    enough = lambda w: 2 * den * w["shared"] >= num * (w["n"] + size)
-    dice = lambda w: 2 * w["shared"] / (w["n"] + size)
-    matches = hits.withColumn("w", windows).withColumn("w", F.transform("w", sized)).withColumn("w", F.filter("w", enough))
-    kind = "struct<first:int,last:int,n:int,shared:int>"
-    none = F.array().cast(f"array<struct<end:int,best:{kind}>>")
 
-    def join(done: Column, w: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        better = F.when(dice(w) > dice(last["best"]), w).otherwise(last["best"])
-        grown = F.struct(F.greatest(last["end"], w["last"]).alias("end"), better.alias("best"))
-        fresh = F.struct(w["last"].alias("end"), w.alias("best"))
-        meets = F.coalesce(w["first"] <= last["end"], F.lit(False))
-        return F.when(
-            meets, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))
-        ).otherwise(F.concat(done, F.array(fresh))).cast(f"array<struct<end:int,best:{kind}>>")
+    def further(done: Column, x: Column) -> Column:
+        """One place more in the window: its counts, the last match, and the best one."""
+        new = x["before"] < F.col("at")
+        n, shared = done["n"] + new.cast("int"), done["shared"] + (new & x["hit"]).cast("int")
+        meets = x["hit"] & (2 * den * shared >= num * (n + size))
+        dice = 2 * shared / (n + size)
+        better = meets & (dice > done["dice"])
+        pick = lambda a, b: F.when(better, a).otherwise(b)
+        return F.struct(
+            n.alias("n"), shared.alias("shared"), F.when(meets, x["at"]).otherwise(done["end"]).alias("end"),
+            pick(x["at"], done["last"]).alias("last"), pick(n, done["best_n"]).alias("best_n"),
+            pick(shared, done["best_shared"]).alias("best_shared"), pick(dice, done["dice"]).alias("dice"),
+        )
 
-    passages = matches.filter(F.size("w") > 0).withColumn("p", F.explode(F.aggregate(F.array_sort("w"), none, join)))
-    best = F.col("p.best")
+    windows = starts.select(*of, "at", F.aggregate("ahead", nothing, further).alias("w")).filter("w.end > 0")
+    # Windows that share a place are one passage.
+    reached = F.max("w.end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = windows.withColumn("fresh", F.coalesce(F.col("at") > reached, F.lit(True)).cast("int"))
+    passages = fresh.withColumn("passage", F.sum("fresh").over(along)).groupBy(*of, "passage").agg(F.min(F.struct(
+        (-F.col("w.dice")).alias("d"), F.col("at").alias("first"), F.col("w.last").alias("last"), F.col("w.best_n").alias("n"),
+        F.col("w.best_shared").alias("shared"),
+    )).alias("best"))
+    best = F.col("best")
     line = F.aggregate(
         "counts", F.struct(F.lit(0).alias("seen"), F.lit(0).alias("line")),
         lambda done, n: F.when(
-            done["seen"] < F.col("p.best.first"), F.struct((done["seen"] + n).alias("seen"), (done["line"] + 1).alias("line"))
+            done["seen"] < F.col("best.first"), F.struct((done["seen"] + n).alias("seen"), (done["line"] + 1).alias("line"))
         ).otherwise(done),
     )["line"]
-    return passages.select(
+    return passages.join(texts.select("row", "doc_id", "counts"), "row").select(
         "doc_id", line.alias("line"), best["first"].alias("word"), (best["last"] - best["first"] + 2).alias("n_words"),
-        F.col("t.license").alias("license"), F.col("t.notice").alias("notice"),
-        best["n"].alias("n_bigrams"), best["shared"].alias("n_shared"), dice(best).alias("dice"),
+        "license", "notice", best["n"].alias("n_bigrams"), best["shared"].alias("n_shared"), (-best["d"]).alias("dice"),
     )
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 import textwrap
+import time
 
 import pytest
 
@@ -78,3 +79,24 @@ def test_notices_within_a_line(spark):
 def test_texts_are_numbered_after_notices():
     assert all(with_texts()[k][: len(v)] == v for k, v in NOTICES.items())
     assert all(with_texts()[k][-len(v) :] == v for k, v in TEXTS.items())
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3])
+def test_neighbouring_copies(spark, copies):
+    """Windows that bridge neighbouring copies make one passage of them, as the plain loops say."""
+    notices = {"MIT": (TEXTS["MIT"][0],)}
+    text = "\nSome words between.\n".join([TEXTS["MIT"][0]] * copies)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert _found(scan_texts(docs, notices)) == sorted((1, *r) for r in _plain(text, notices))
+
+
+def test_many_copies_in_one_text(spark):
+    """Every copy that stands apart is found, in time that grows with their number, not faster."""
+    between, seconds = " ".join(f"word{i}" for i in range(300)), {}
+    for copies in (1, 50, 500):
+        docs = spark.createDataFrame([(1, f"\n{between}\n".join([TEXTS["MIT"][0]] * copies))], "doc_id long, text string")
+        start = time.perf_counter()
+        got = [r for r in scan_texts(docs).collect() if (r.license, r.notice) == ("MIT", len(NOTICES["MIT"]))]
+        seconds[copies] = time.perf_counter() - start
+        assert len(got) == copies and all(r.dice == 1.0 for r in got)
+    assert seconds[500] <= 10 * seconds[50]
