@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftguard.sources.quoted import quoted_records
+
 TIME_FORMAT = "MM/dd/yyyy HH:mm:ss"
 
 # Column order of the log files.
@@ -31,19 +33,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
 
 
-def read_log(spark: SparkSession, path: str, name: str, multi_line: bool = False) -> DataFrame:
+def read_log(spark: SparkSession, path: str, name: str, multi_line: bool = True) -> DataFrame:
     """One log with a parsed time ``ts``; rows with too few fields are dropped.
 
-    Quoted fields may hold commas and quotes. Every record is one line, so that files are
-    split; with ``multi_line`` fields may hold line breaks too, and a file is one task.
+    Quoted fields may hold commas, quotes and line breaks; files are split, and records are
+    cut by the parity of quotes (see :func:`quoted_records`). Where every record is known to
+    be one line, ``multi_line=False`` saves the pass that looks for the ends of records.
     """
     columns = LOG_COLUMNS[name]
-    raw = (
-        spark.read.schema(_schema([*columns, "_raw"]))
-        .options(header=True, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE")
-        .options(columnNameOfCorruptRecord="_raw", columnPruning=False)
-        .csv(path)
-    )
+    options = {
+        "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw", "multiLine": str(multi_line).lower(),
+    }
+    schema = _schema([*columns, "_raw"])
+    if multi_line:
+        parsed = F.from_csv("record", schema.toDDL(), options)
+        raw = quoted_records(spark, path).select(parsed.alias("r")).select("r.*")
+    else:
+        raw = spark.read.schema(schema).options(header=True, columnPruning=False, **options).csv(path)
     # `_raw` is filled when the number of fields differs from the schema.
     # Possessive, as a field may be long: the pattern never steps back into it.
     unquoted = F.regexp_replace("_raw", r'"(?:[^"]++|"")*+"', "")
@@ -59,7 +65,7 @@ def _with_time(raw: DataFrame) -> DataFrame:
 
 
 def read_audit_logs(
-    spark: SparkSession, folders: list[str], multi_line: bool = False
+    spark: SparkSession, folders: list[str], multi_line: bool = True
 ) -> dict[str, DataFrame]:
     """The four logs, each from the first folder that has it.
 
