@@ -223,7 +223,9 @@ def drop_common_lines(docs: DataFrame, documents: int = 3, least: int = 20, shar
     rows = keys.select("doc_id", F.explode(F.arrays_zip("hashes", "prints")).alias("k")).select(
         F.pmod(F.col("k.hashes"), F.lit(shards)).alias("shard"), "doc_id", F.col("k.hashes").alias("hash"), F.col("k.prints").alias("print")
     )
-    counted = rows.groupBy("shard", "hash").agg(
+    # Once per document: by document first, so that a frequent line is spread before it is counted.
+    once = rows.groupBy("shard", "hash", "doc_id").agg(F.min("print").alias("print"))
+    counted = once.groupBy("shard", "hash").agg(
         F.min("print").alias("print"), F.count("*").alias("n"), F.max("doc_id").alias("largest")
     )
     index = materialize(

@@ -226,6 +226,17 @@ def test_lines_edges(spark, nothing):
     same(got, [(1, 1, 1, ""), (2, 2, 2, ""), (3, 2, 0, None), (None, 1, 0, None), (4, 1, 0, None)])
 
 
+def test_lines_count_documents_not_rows(spark):
+    """Rows that repeat a document do not make its line one of three documents."""
+    line = "a line that is long enough"
+    two = [(1, line), (1, line), (1, line), (2, line)]
+    got = found(drop_common_lines(spark.createDataFrame(two, "doc_id long, text string")), "doc_id", "n_dropped")
+    same(got, [(1, 0), (1, 0), (1, 0), (2, 0)])
+    three = [*two, (3, line), (3, line)]
+    got = found(drop_common_lines(spark.createDataFrame(three, "doc_id long, text string")), "doc_id", "n_dropped")
+    same(got, [(1, 1), (1, 1), (1, 1), (2, 1), (3, 0), (3, 0)])
+
+
 @pytest.mark.parametrize("width", [50, 7, 1])
 def test_substrings(rows, docs, width):
     want = brute.substrings([r[:2] for r in rows], width)
