@@ -13,9 +13,10 @@ from math import ceil, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftguard.operators.neighbours import nearest_rows
 from siftguard.operators.running import percentiles
 from siftguard.operators.sampling import hash_of
 from siftguard.session import by_group, materialize
@@ -147,114 +148,33 @@ def isolation_forest(
     return isolation_forest_score(df, features, keep, forest, size)
 
 
-# Rows compared with a block at a time inside a task.
-_LOF_CHUNK = 256
-
-
-def _nearest(x: np.ndarray, block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest rows of a block.
-
-    A product of matrices picks somewhat more than k, whose distances are then taken exactly.
-    """
-    some = min(k + 16, len(block))
-    squares = (block**2).sum(1)
-    out_at, out_dist = [], []
-    for i in range(0, len(x), _LOF_CHUNK):
-        part = x[i: i + _LOF_CHUNK]
-        rough = squares - 2.0 * part @ block.T
-        at = np.argpartition(rough, some - 1, axis=1)[:, :some] if some < len(block) else np.tile(np.arange(some), (len(part), 1))
-        at = np.sort(at, axis=1)
-        dist = np.sqrt(((part[:, None, :] - block[at]) ** 2).sum(2))
-        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        out_at.append(np.take_along_axis(at, best, 1))
-        out_dist.append(np.take_along_axis(dist, best, 1))
-    return np.concatenate(out_at), np.concatenate(out_dist)
-
-
-def nearest_rows(queries: DataFrame, points: DataFrame, k: int, block_rows: int = 2_000) -> DataFrame:
-    """The exact k nearest points of every query, as rows (query, point, dist).
-
-    ``queries`` has ``query`` (long) and ``x`` (array), ``points`` has ``point`` and ``x``. A query
-    never finds the point with its own number. Points are cut into blocks along their
-    distance from the origin, which two rows can only differ in by less than their own
-    distance. A query looks in its home block first; its k-th distance there tells which other
-    blocks can hold a nearer point, and only those are asked. Blocks follow the rows.
-    """
-    radius = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    placed = materialize(points.withColumn("r", radius), "points")
-    width = block_rows / max(placed.count(), 1)
-    shares = list(np.arange(width, 1, width))
-    cuts = sorted(set(placed.stat.approxQuantile("r", shares, width / 4))) if shares else []
-
-    def block_of(value: Column) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < value)).cast("int")
-
-    block = block_of(F.col("r"))
-    # Points at the same distance may be many: they are dealt to sub-blocks of a bounded size.
-    numbered = placed.withColumn("home", block)
-    sizes = numbered.groupBy("home").agg(F.ceil(F.count("*") / (2 * block_rows)).cast("int").alias("parts"))
-    held = numbered.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"))
-    held = materialize(held.select("home", "part", "point", "x", "r"), "point-blocks")
-    parts = held.select("home", "part").distinct()
-    asked = materialize(queries.withColumn("r", radius).withColumn("home", block), "queries")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "point": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        right = right.sort_by("point")
-        rows = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        ids, names = right.column("point").to_numpy(), left.column("query").to_numpy()
-        at, dist = _nearest(rows(left), rows(right), k + 1)
-        found = ids[at]
-        other = found != names[:, None]
-        keep = other & (np.cumsum(other, axis=1) <= k)
-        return pa.table({"query": np.repeat(names, keep.sum(1)), "point": found[keep], "dist": dist[keep]})
-
-    def ask(visits: DataFrame) -> DataFrame:
-        keys = ("home", "part")
-        # Aliased keys: both sides of the cogroup come from the same blocks.
-        visits = visits.select(*[F.col(c).alias(c) for c in visits.columns])
-        return by_group(visits, *keys).groupBy(*keys).cogroup(
-            by_group(held.select("home", "part", "point", "x"), *keys).groupBy(*keys)
-        ).applyInArrow(search, "query long, point long, dist double")
-
-    best = Window.partitionBy("query").orderBy("dist", "point")
-    # Without enough points at home every block is asked.
-    first = materialize(
-        ask(asked.join(parts.filter("part = 0"), "home").select("home", "part", "query", "x")), "home-neighbours"
-    )
-    reach = first.groupBy("query").agg(F.max("dist").alias("reach"), F.count("*").alias("n"))
-    limits = asked.join(reach, "query", "left").select(
-        "query", "x", "r", F.col("home").alias("own"), F.when(F.col("n") >= k, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach")
-    )
-    # All blocks that the interval of the query's reach touches, but the one it has been to.
-    span = F.sequence(block_of(F.col("r") - F.col("reach") * (1 + 1e-12) - 1e-9), block_of(F.col("r") + F.col("reach") * (1 + 1e-12) + 1e-9))
-    others = limits.select("query", "x", "own", F.explode(span).alias("home")).join(parts, "home").filter(
-        "not (home = own and part = 0)"
-    )
-    second = ask(others.select("home", "part", "query", "x"))
-    return first.union(second).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k).drop("__n")
-
-
 def local_outlier_factor(
     df: DataFrame, train: DataFrame, features: list[str], ids: list[str], keep: list[str], neighbors: int = 30,
     block_rows: int = 2_000,
 ) -> DataFrame:
     """Adds ``outlier``: density around the nearest training rows over the own density.
 
-    All training rows are used. A row to be scored may be a training row too; then it is its
-    own nearest neighbour. ``ids`` settle the order of training rows at equal distances.
+    All training rows are used; equal ones are one point with a weight, so that the time follows
+    the distinct vectors. A row to be scored may be a training row too; then it is its own
+    nearest neighbour. ``ids`` settle the order of training rows at equal distances.
     """
     vector = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
-    number = F.xxhash64(*ids)
-    points = materialize(train.select(number.alias("point"), vector), "lof-points")
-    k = max(1, min(neighbors, points.count() - 1))
+    points = materialize(
+        train.select(F.xxhash64(*ids).alias("point"), vector).groupBy("x").agg(
+            F.min("point").alias("point"), F.count("*").alias("weight")
+        ),
+        "lof-points",
+    )
+    k = max(1, min(neighbors, (points.agg(F.sum("weight")).first()[0] or 0) - 1))
     near = materialize(nearest_rows(points.select(F.col("point").alias("query"), "x"), points, k, block_rows), "lof-train")
     reach = near.groupBy("query").agg(F.max("dist").alias("reach")).withColumnRenamed("query", "point")
 
+    def mean(value: Column) -> Column:
+        return F.sum(F.col("n") * value) / F.sum("n")
+
     def density(found: DataFrame) -> DataFrame:
         met = found.join(reach, "point")
-        return met.groupBy("query").agg((1.0 / (F.avg(F.greatest("reach", "dist")) + 1e-10)).alias("density"))
+        return met.groupBy("query").agg((1.0 / (mean(F.greatest("reach", "dist")) + 1e-10)).alias("density"))
 
     known = materialize(density(near), "lof-density")
     # Equal rows have equal scores: distinct vectors are searched once.
@@ -262,7 +182,7 @@ def local_outlier_factor(
     vectors = rows.select("x").distinct().withColumn("query", F.xxhash64("x", F.lit("query")))
     asked = materialize(nearest_rows(vectors, points, k, block_rows), "lof-queries")
     around = asked.join(known.select(F.col("query").alias("point"), F.col("density").alias("theirs")), "point")
-    scored = around.groupBy("query").agg(F.avg("theirs").alias("theirs")).join(density(asked), "query").select(
+    scored = around.groupBy("query").agg(mean(F.col("theirs")).alias("theirs")).join(density(asked), "query").select(
         "query", (F.col("theirs") / F.col("density")).alias("outlier")
     )
     return rows.withColumn("query", F.xxhash64("x", F.lit("query"))).join(scored, "query").select(*keep, "outlier")

@@ -207,3 +207,46 @@ def test_lof_uses_all_training_rows(spark):
     for q, dist in found.items():
         want = np.sort(np.delete(np.sqrt(((x - x[q]) ** 2).sum(1)), q))[:12]
         assert np.allclose(sorted(dist), want)
+
+
+def test_lof_collapses_equal_rows(spark):
+    """Nine rows of ten are equal; the scores are those of a plain loop over all rows."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(500, 2)), 6)
+    x[rng.random(500) < 0.9] = [0.0, 0.0]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
+    got = {r.id: r.outlier for r in outliers.local_outlier_factor(df, df, ["a", "b"], ["id"], ["id"], 10, 20).collect()}
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    own = dist + np.where(np.eye(500, dtype=bool), np.inf, 0)
+    near = np.argsort(own, 1, kind="stable")[:, :10]
+    reach = np.take_along_axis(own, near, 1)[:, -1]
+    density = 1 / (np.maximum(reach[near], np.take_along_axis(own, near, 1)).mean(1) + 1e-10)
+    for i in range(500):
+        n = np.argsort(dist[i], kind="stable")[:10]
+        local = 1 / (np.maximum(reach[n], dist[i][n]).mean() + 1e-10)
+        assert got[i] == pytest.approx(density[n].mean() / local)
+
+
+def test_nearest_rows_with_weights_and_equal_norms(spark):
+    """Points on a sphere, some of them many times: each query gets the distances of a full search."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3_000, 4))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    weight = rng.choice([1, 1, 1, 5, 200], 3_000)
+    points = spark.createDataFrame(
+        [(i, row.tolist(), int(w)) for i, (row, w) in enumerate(zip(x, weight))], "point long, x array<double>, weight long"
+    )
+    asked = points.filter("point % 100 = 7").select(F.col("point").alias("query"), "x")
+    got = outliers.nearest_rows(asked, points, 15, 100)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query"], []).extend([r.dist] * r.n)
+    assert len(found) == 30
+    for q, dist in found.items():
+        copies = weight.copy()
+        copies[q] -= 1
+        want = np.sort(np.repeat(np.sqrt(((x - x[q]) ** 2).sum(1)), copies))[:15]
+        assert np.allclose(sorted(dist), want, atol=1e-7)
+    nothing = points.limit(0)
+    assert outliers.nearest_rows(asked, nothing, 15).count() == 0
+    assert outliers.nearest_rows(asked.limit(0), points, 15).count() == 0
