@@ -203,71 +203,93 @@ def adaptive_tree_policy(
     return _evaluate(stream, first_versions(stream, warm).unionByName(later), "tree")
 
 
+def _step(w: np.ndarray | None, x: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray | None:
+    """Weights moved by the mean gradient of the rows; unknown (None) if no row can be used."""
+    if w is None or not len(x):
+        return None
+    with np.errstate(over="ignore", invalid="ignore"):
+        error = (y[:, None] == np.arange(len(w))) - 1.0 / (1.0 + np.exp(-(x @ w.T)))
+        return w + rate * (error.T @ x) / len(x)
+
+
 def incremental_policy(
-    stream: DataFrame, warm: int, block_rows: int = 1_000, rate: float = 1.0, warm_steps: int = 8
+    stream: DataFrame, warm: int, block_rows: int = 1_000, rate: float = 1.0, warm_steps: int = 8,
+    round_values: int = 2_000_000,
 ) -> DataFrame:
     """Logistic model updated after every ``block_rows`` rows; a block is scored before it is learnt.
 
     One against the rest for several classes. Blocks are counted per stream, so a stream's
-    result does not depend on others; the rounds follow the longest stream. Rows are stored
-    by block, and a round reads its own. The gradient of a block is one aggregate with
-    map-side sums; only the weights are carried over.
+    result does not depend on others. The weights of a block follow from those before it: a
+    round walks all streams side by side through the next blocks, as many as hold about
+    ``round_values`` values of a stream, and writes the weights before each block. A task gets
+    that part of one stream, or its warm prefix. All rows are then scored at once, by a join
+    with the weights of their block.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, "incremental")
+    path, rounds = scratch_path(spark, "incremental"), scratch_path(spark, "incremental-rounds")
+    shape = stream.agg(F.max("pos"), F.max("y"), F.max(F.size("features"))).first()
+    last, classes, width = shape[0], (shape[1] or 0) + 1, max(shape[2] or 0, 0) + 1
+    per_round = max(1, round_values // (block_rows * width))
     block = F.greatest(F.floor((F.col("pos") - warm) / block_rows), F.lit(-1)).cast("long")
-    stream.select(
-        "stream_id", "pos", "y", F.concat(F.array(F.lit(1.0)), "features").alias("x"), block.alias("block")
-    ).repartition("block", "stream_id").write.partitionBy("block").parquet(path)
-    stored = stream.select("stream_id", "pos", "y", F.col("features").alias("x"), F.lit(0).cast("long").alias("block")).schema
-    rows = spark.read.schema(stored).parquet(path)
-    shape = rows.agg(F.max("pos"), F.max("y"), F.max(F.size("x"))).first()
-    last, classes, width = shape[0], shape[1] + 1, shape[2]
-    blocks = max(1, -(-(last + 1 - warm) // block_rows))
+    kept = stream.filter(F.col("stream_id").isNotNull()).select(
+        "stream_id", "pos", "y", F.concat(F.array(F.lit(1.0)), "features").alias("x"), block.alias("block"),
+        F.floor(block / per_round).cast("long").alias("part"),
+    )
+    # Stored by round, so that a round reads its own rows only.
+    kept.repartition("part", "stream_id").write.partitionBy("part").parquet(path)
+    rows = spark.read.schema(kept.schema).parquet(path)
     stream_type = stream.schema["stream_id"].dataType.simpleString()
-    weights = materialize(
-        rows.select("stream_id").distinct().withColumn(
-            "w", F.array_repeat(F.array_repeat(F.lit(0.0), width), classes)
-        ),
-        "weights",
+    schema = f"stream_id {stream_type}, block long, w array<array<double>>"
+    nested = pa.list_(pa.list_(pa.float64()))
+    # The row without a block is the state that the next round starts from.
+    rows.select("stream_id").distinct().select(
+        "stream_id", F.lit(None).cast("long").alias("block"),
+        F.array_repeat(F.array_repeat(F.lit(0.0), width), classes).alias("w"),
+    ).write.parquet(f"{rounds}/round=0")
+
+    def walk(steps: int):
+        def learn(key: tuple, rows: pa.Table, states: pa.Table) -> pa.Table:
+            w = states.column("w")[0].as_py()
+            w = None if w is None else np.array(w, dtype=float)
+            blocks, before = [], []
+            if rows.num_rows:
+                pos, at, y = (rows.column(c).to_numpy() for c in ("pos", "block", "y"))
+                features = [rows.column(f"x{j}") for j in range(width)]
+                x = np.column_stack([c.to_numpy() for c in features])
+                # A row that lacks a feature has no score and is not learnt from.
+                whole = ~np.any([c.is_null().to_numpy() for c in features], axis=0)
+                order = np.lexsort((pos, at))
+                starts = np.flatnonzero(np.diff(at[order], prepend=at[order[0]] - 1))
+                for mine in np.split(order, starts[1:]):
+                    blocks.append(int(at[mine[0]]))
+                    before.append(None if w is None else w.tolist())
+                    mine = mine[whole[mine]]
+                    for _ in range(steps):
+                        w = _step(w, x[mine], y[mine], rate)
+            after = None if w is None else w.tolist()
+            return pa.table({
+                "stream_id": pa.repeat(key[0], len(blocks) + 1), "block": pa.array([*blocks, None], pa.int64()),
+                "w": pa.array([*before, after], nested),
+            })
+
+        return learn
+
+    parts = -1 if last is None or last < warm else (last - warm) // block_rows // per_round
+    values = [F.get("x", F.lit(j)).alias(f"x{j}") for j in range(width)]
+    for done, part in enumerate(range(-1, parts + 1)):
+        state = spark.read.schema(schema).parquet(f"{rounds}/round={done}").filter(F.col("block").isNull())
+        mine = rows.filter(F.col("part") == part).select("stream_id", "pos", "block", "y", *values)
+        moved = by_group(mine, "stream_id").groupBy("stream_id").cogroup(by_group(state, "stream_id").groupBy("stream_id"))
+        moved.applyInArrow(walk(warm_steps if part < 0 else 1), schema).write.parquet(f"{rounds}/round={done + 1}")
+    known = spark.read.schema(schema).parquet(*[f"{rounds}/round={i}" for i in range(parts + 3)])
+    score = F.transform(
+        "w", lambda w: F.aggregate(F.zip_with(w, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    )
+    scored = rows.filter(F.col("block") >= 0).join(known, ["stream_id", "block"]).withColumn("score", score)
+    best = (F.array_position("score", F.array_max("score")) - 1).cast("int")
+    return scored.select("stream_id", "pos", best.alias("predicted"), "y").select(
+        "stream_id", "pos", "predicted", (F.col("predicted") == F.col("y")).cast("int").alias("correct")
     )
-
-    def margins(part: DataFrame) -> DataFrame:
-        score = F.transform(
-            "w", lambda w: F.aggregate(F.zip_with(w, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        )
-        return part.join(weights, "stream_id").withColumn("score", score)
-
-    def learn(part: DataFrame) -> DataFrame:
-        scored = margins(part)
-        sums = []
-        for c in range(classes):
-            error = F.when(F.col("y") == c, 1.0).otherwise(0.0) - 1.0 / (1.0 + F.exp(-F.col("score")[c]))
-            sums.append(F.array(*[F.avg(error * F.col("x")[j]) for j in range(width)]))
-        step = scored.groupBy("stream_id").agg(F.array(*sums).alias("g"))
-        moved = F.zip_with("w", "g", lambda w, g: F.zip_with(w, g, lambda a, b: a + F.lit(rate) * b))
-        # A stream without rows in this block keeps its weights.
-        return materialize(
-            weights.join(step, "stream_id", "left").select(
-                "stream_id", F.when(F.col("g").isNull(), F.col("w")).otherwise(moved).alias("w")
-            ),
-            "weights",
-        )
-
-    prefix = rows.filter(F.col("block") == -1)
-    for _ in range(warm_steps):
-        weights = learn(prefix)
-    out = None
-    for b in range(blocks):
-        part = rows.filter(F.col("block") == b)
-        best = (F.array_position("score", F.array_max("score")) - 1).cast("int")
-        scored = margins(part).select("stream_id", "pos", best.alias("predicted"), "y").select(
-            "stream_id", "pos", "predicted", (F.col("predicted") == F.col("y")).cast("int").alias("correct")
-        )
-        out = scored if out is None else out.unionByName(scored)
-        if b + 1 < blocks:
-            weights = learn(part)
-    return out
 
 
 def compare_policies(traces: DataFrame, baseline: str = "static", versions: DataFrame | None = None) -> DataFrame:
