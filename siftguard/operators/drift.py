@@ -153,8 +153,9 @@ def _first_confirmed(hit: np.ndarray, confirm: int, skip: int, run: int = 0) ->
     return None, run
 
 
-# Windows tested in one step inside a task; bounds the memory of the kernel.
-_CHUNK = 512
+# Windows tested in one step inside a task; bounds the memory of the kernel. After an alarm
+# steps start small, so that little is tested that the next alarm makes void.
+_CHUNK, _FIRST_CHUNK = 512, 16
 
 
 def scan_block(
@@ -167,12 +168,14 @@ def scan_block(
     origin: int,
     rule: KsRule,
     limits: dict[int, int],
+    known: frozenset[int] = frozenset(),
 ) -> tuple[list[int], int, int, int, int]:
     """Run the detector over window ends ``first, first + step, ... <= last``.
 
     ``pos`` is sorted. Up to ``confirm - 1`` earlier ends, not before ``origin``, are
     looked at again to know the current run of signals. Returns the alarms and the
-    state to go on with: reference start and size, next end, origin.
+    state to go on with: reference start and size, next end, origin. Ends early at an
+    alarm of ``known``, from which the rest follows.
     """
     def rows(lo: int, hi: int) -> np.ndarray:
         at = np.searchsorted(pos, [lo, hi])
@@ -183,9 +186,10 @@ def scan_block(
     while first <= last:
         back = min(rule.confirm - 1, max(0, (first - origin) // rule.step))
         start = first - back * rule.step
-        found, run = None, 0
+        found, run, chunk = None, 0, _FIRST_CHUNK
         while start <= last and found is None:
-            ends = np.arange(start, min(last, start + (_CHUNK - 1) * rule.step) + 1, rule.step)
+            ends = np.arange(start, min(last, start + (chunk - 1) * rule.step) + 1, rule.step)
+            chunk = min(2 * chunk, _CHUNK)
             base = int(ends[0]) - rule.window
             gaps = _gaps(rows(base, int(ends[-1])), reference, ends - base, rule)
             hit = gaps >= limits[ref_size]
@@ -198,102 +202,151 @@ def scan_block(
         alarms.append(found)
         ref_start, ref_size = found + rule.reference_offset, rule.window
         first = origin = found + rule.resume_offset
+        if found in known:
+            break
         if first <= last:
             reference = rows(ref_start, ref_start + ref_size)
     return alarms, ref_start, ref_size, first, origin
 
 
-_STATE = "last long, horizon long, alarms array<long>, ref_start long, ref_size long, next_end long, origin long"
+_ENTRY = ("ref_start", "ref_size", "next_end", "origin")
+_EXIT = tuple(f"out_{c}" for c in _ENTRY)
+_LONGS = ("block", "last", "frontier", *_ENTRY, *_EXIT)
+# Rows of a stream that are looked up together.
+_CELL = 1_000
+
+
+def _entries(runs: pa.Table, first_end: int, span: int, step: int, every: bool) -> list[dict]:
+    """Blocks of one stream whose entry is not the one they were run from, with the entry to take.
+
+    A block that was run from another state is taken to end as it did then, or, if it had no
+    alarm, to hand the new state on. Up to the first such block, the frontier, all is certain.
+    Without ``every`` only twice as many blocks are taken as the frontier moved on.
+    """
+    runs = sorted(runs.to_pylist(), key=lambda r: r["block"])
+    state, wanted = None, []
+    for r in runs:
+        entry, after = tuple(r[c] for c in _ENTRY), tuple(r[c] for c in _EXIT)
+        if state is None or state == entry:
+            state = after
+            continue
+        wanted.append({"stream_id": r["stream_id"], "block": r["block"], **dict(zip(_ENTRY, state))})
+        if r["n"]:
+            state = after
+        else:
+            ref_start, ref_size, next_end, origin = state
+            behind = min(r["last"], first_end + (r["block"] + 1) * span - 1) - next_end
+            state = ref_start, ref_size, next_end + max(0, behind // step + 1) * step, origin
+    if not wanted:
+        return []
+    frontier = wanted[0]["block"]
+    ahead = len(runs) if every else 2 * max(1, frontier - max(r["frontier"] for r in runs))
+    return [{**w, "frontier": frontier} for w in wanted if w["block"] < frontier + ahead]
 
 
 def ks_confirm_detector(
-    stream: DataFrame, rule: KsRule, block_windows: int = 5_000, name: str = "ks"
+    stream: DataFrame, rule: KsRule, block_windows: int = 20_000, name: str = "ks"
 ) -> DataFrame:
     """Alarm positions (stream_id, alarm_pos) of every stream.
 
-    What follows an alarm depends on its position alone. So each round assumes that
-    no more alarms come, tests the next blocks of every stream in parallel, accepts
-    the first block with alarms and goes on behind it. The number of blocks doubles
-    while a stream is quiet: at most twice the needed windows are tested, and a quiet
-    stream of any length ends after a few rounds. The state of a round is one small
-    row per stream in the shared folder.
+    What follows an alarm depends on its position alone. So all blocks of a stream are run
+    side by side, each from a guessed state, as if an alarm had come in time for its first
+    window. Then a block whose entry is not what the block before it ended with is run again
+    from there, until it meets an alarm of its former run; the rest of that run holds. A
+    block without alarms hands its state on. Rounds end when all entries fit, so the alarms
+    are those of the plain sequence. Each round settles one more block at least, mostly all:
+    the blocks of a round are bounded by those that the round before settled. The state is
+    one small row per block in the shared folder.
     """
     spark = stream.sparkSession
-    rows = materialize(stream.select("stream_id", "pos", "features"), f"{name}-rows")
+    named = stream.filter(F.col("stream_id").isNotNull())
+    rows = materialize(named.select("stream_id", "pos", "features"), f"{name}-rows")
     limits = critical_gaps(rows, rule)
     span = block_windows * rule.step
-    zero = F.lit(0).cast("long")
     stream_type = stream.schema["stream_id"].dataType.simpleString()
-    state_schema = f"stream_id {stream_type}, {_STATE}"
+    longs = ", ".join(f"{c} long" for c in _LONGS)
+    schema = f"stream_id {stream_type}, {longs}, alarms array<long>"
     rounds = scratch_path(spark, f"{name}-rounds")
-    start = {
-        "horizon": 1, "ref_start": rule.first_start, "ref_size": rule.first_size,
-        "next_end": rule.first_end, "origin": rule.first_end,
-    }
-    rows.groupBy("stream_id").agg((F.max("pos") + 1 - rule.closing).alias("last")).withColumns(
-        {**{c: F.lit(v).cast("long") for c, v in start.items()}, "alarms": F.array().cast("array<bigint>")}
-    ).write.parquet(f"{rounds}/round=0")
 
     def scan(key: tuple, block: pa.Table, tasks: pa.Table) -> pa.Table:
-        pos, x = ordered_rows(block)
         t = tasks.to_pylist()[0]
-        alarms, ref_start, ref_size, next_end, origin = scan_block(
-            pos, x, t["first_end"], t["last_end"], t["ref_start"], t["ref_size"], t["origin"], rule, limits
-        )
-        row = {
-            "stream_id": t["stream_id"], "block": t["block"], "last": t["last"],
-            "horizon": 1 if alarms else 2 * t["horizon"], "alarms": alarms,
-            "ref_start": ref_start, "ref_size": ref_size, "next_end": next_end, "origin": origin,
-        }
-        return pa.table({c: pa.array([v], pa.list_(pa.int64()) if c == "alarms" else None) for c, v in row.items()})
+        end = min(t["last"], rule.first_end + (t["block"] + 1) * span - 1)
+        known, alarms, after = t["alarms"] or [], [], [t[c] for c in _ENTRY]
+        if block.num_rows and t["next_end"] <= end:
+            pos, x = ordered_rows(block)
+            alarms, *after = scan_block(
+                pos, x, t["next_end"], end, t["ref_start"], t["ref_size"], t["origin"], rule, limits, frozenset(known)
+            )
+            if alarms and alarms[-1] in known:
+                alarms, after = alarms + [a for a in known if a > alarms[-1]], [t[c] for c in _EXIT]
+        row = {**t, **dict(zip(_EXIT, after))}
+        out = {c: pa.array([row[c]], pa.int64()) for c in _LONGS}
+        return pa.table({
+            "stream_id": pa.repeat(key[0], 1), **out, "alarms": pa.array([alarms], pa.list_(pa.int64())),
+        })
+
+    def entries(every: bool):
+        def resolve(key: tuple, runs: pa.Table) -> pa.Table:
+            wanted = _entries(runs, rule.first_end, span, rule.step, every)
+            out = {c: pa.array([w[c] for w in wanted], pa.int64()) for c in ("block", "frontier", *_ENTRY)}
+            return pa.table({"stream_id": pa.repeat(key[0], len(wanted)), **out})
+
+        return resolve
 
+    zero = F.lit(0).cast("long")
+    block = F.explode(F.sequence(zero, F.floor((F.col("last") - rule.first_end) / span).cast("long"))).alias("block")
+    lengths = rows.groupBy("stream_id").agg((F.max("pos") + 1 - rule.closing).alias("last"))
+    low = rule.first_end + F.col("block") * span
+    guess = {
+        "ref_start": (rule.first_start, low - rule.resume_offset + rule.reference_offset),
+        "ref_size": (rule.first_size, F.lit(rule.window)), "next_end": (rule.first_end, low), "origin": (rule.first_end, low),
+    }
+    tasks = lengths.filter(F.col("last") >= rule.first_end).select("stream_id", "last", block).withColumns({
+        "frontier": zero, "alarms": F.array().cast("array<bigint>"),
+        **{c: F.when(F.col("block") == 0, F.lit(a)).otherwise(b).cast("long") for c, (a, b) in guess.items()},
+        **{c: zero for c in _EXIT},
+    })
     done = 0
     while True:
-        state = spark.read.schema(state_schema).parquet(f"{rounds}/round={done}")
-        state = state.filter(F.col("next_end") <= F.col("last")).drop("alarms")
-        bounds = state.agg(
-            F.count(F.lit(1)),
-            F.min(F.least("ref_start", F.col("next_end") - rule.window - (rule.confirm - 1) * rule.step)),
-            F.max(F.least("last", F.col("next_end") + F.col("horizon") * span)),
-        ).first()
-        if not bounds[0]:
+        tasks = materialize(tasks.select("stream_id", *_LONGS, "alarms"), f"{name}-tasks")
+        if tasks.isEmpty():
             break
-        left = F.ceil((F.col("last") - F.col("next_end") + 1) / span).cast("long")
-        tasks = state.withColumn("block", F.explode(F.sequence(zero, F.least("horizon", left) - 1)))
-        first = F.col("next_end") + F.col("block") * span
-        tasks = tasks.withColumn("first_end", first).withColumn(
-            "last_end", F.least(F.col("last"), first + (span - rule.step))
-        )
+        end = F.least(F.col("last"), rule.first_end + (F.col("block") + 1) * span - 1)
         # Earlier windows that tell the current run of signals need rows before the block.
-        reach = F.greatest("origin", F.col("first_end") - (rule.confirm - 1) * rule.step) - rule.window
-        tasks = tasks.withColumn("low", reach)
+        reach = F.greatest("origin", F.col("next_end") - (rule.confirm - 1) * rule.step) - rule.window
+        ranges = tasks.withColumns({"end": end, "low": reach}).filter(F.col("next_end") <= F.col("end"))
         cells = F.array_union(
-            _cells(F.col("low"), F.col("last_end"), span),
-            _cells(F.col("ref_start"), F.col("ref_start") + F.col("ref_size"), span),
-        )
-        placed = tasks.withColumn("cell", F.explode(cells)).select(
-            "stream_id", "cell", "block", "low", "last_end", "ref_start", "ref_size"
+            _cells(F.col("low"), F.col("end"), _CELL),
+            _cells(F.col("ref_start"), F.col("ref_start") + F.col("ref_size"), _CELL),
         )
-        near = rows.filter((F.col("pos") >= bounds[1]) & (F.col("pos") < bounds[2])).withColumn(
-            "cell", F.floor(F.col("pos") / span).cast("long")
-        )
-        wanted = ((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("last_end"))) | (
+        placed = ranges.select("stream_id", F.explode(cells).alias("cell"), "block", "low", "end", "ref_start", "ref_size")
+        wanted = ((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("end"))) | (
             (F.col("pos") >= F.col("ref_start")) & (F.col("pos") < F.col("ref_start") + F.col("ref_size"))
         )
-        needed = near.join(placed, ["stream_id", "cell"]).filter(wanted).select(
-            "stream_id", "block", "pos", "features"
+        needed = rows.withColumn("cell", F.floor(F.col("pos") / _CELL).cast("long")).join(
+            placed, ["stream_id", "cell"]
+        ).filter(wanted).select("stream_id", "block", "pos", "features")
+        runs = _per_block(needed, tasks.select(*[F.col(c).alias(c) for c in tasks.columns]), ["stream_id", "block"])
+        runs.applyInArrow(scan, schema).write.parquet(f"{rounds}/round={done}")
+        done += 1
+        every = None
+        for i in range(done):
+            part = spark.read.schema(schema).parquet(f"{rounds}/round={i}").withColumn("round", F.lit(i))
+            every = part if every is None else every.unionByName(part)
+        columns = [c for c in every.columns if c not in ("stream_id", "block", "round")]
+        latest = every.groupBy("stream_id", "block").agg(F.max_by(F.struct(*columns), "round").alias("r")).select(
+            "stream_id", "block", "r.*"
+        )
+        ends = latest.select("stream_id", *_LONGS, F.size("alarms").alias("n"))
+        moved = by_group(ends, "stream_id").groupBy("stream_id").applyInArrow(
+            entries(done == 1), f"stream_id {stream_type}, " + ", ".join(f"{c} long" for c in ("block", "frontier", *_ENTRY))
         )
-        result = _per_block(needed, tasks.select(*[F.col(c).alias(c) for c in tasks.columns]), ["stream_id", "block"]).applyInArrow(
-            scan, f"stream_id {stream_type}, block long, {_STATE}"
+        tasks = moved.join(
+            latest.select("stream_id", "block", "last", *_EXIT, "alarms"), ["stream_id", "block"]
         )
-        # First block with alarms; else the last one.
-        order = F.when(F.size("alarms") > 0, F.col("block")).otherwise(F.lit(2**40) - F.col("block"))
-        columns = [c for c in result.columns if c not in ("stream_id", "block")]
-        chosen = result.groupBy("stream_id").agg(F.min_by(F.struct(*columns), order).alias("c"))
-        done += 1
-        chosen.select("stream_id", "c.*").write.parquet(f"{rounds}/round={done}")
-    every = spark.read.schema(state_schema).parquet(*[f"{rounds}/round={i}" for i in range(done + 1)])
-    return every.select("stream_id", F.explode("alarms").alias("alarm_pos"))
+    if not done:
+        return spark.createDataFrame([], f"stream_id {stream_type}, alarm_pos long")
+    return latest.select("stream_id", F.explode("alarms").alias("alarm_pos"))
 
 
 def _per_block(rows: DataFrame, parameters: DataFrame, keys: list[str]):
