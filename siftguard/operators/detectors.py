@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass, field
 from math import log, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,7 +161,9 @@ class Adwin:
 class Kswin:
     """KS test of the newest values against a sample of the older ones in the window.
 
-    The sample is drawn by a counter-based rule, so a rerun gives the same alarms.
+    The sample is drawn by a counter-based rule, so a rerun gives the same alarms. As long as
+    all values are 0 or 1, the gap is the difference of two counts of ones: where no sample of
+    the older values can reach the limit, none is drawn, and the counter goes on all the same.
     """
 
     values: list[float] = field(default_factory=list)
@@ -170,19 +172,29 @@ class Kswin:
     recent: int = 30
     alpha: float = 0.005
     seed: int = 0
+    binary: bool = True
 
     def update(self, error: int) -> bool:
         self.values.append(float(error))
+        self.binary = self.binary and error in (0, 1)
         if len(self.values) < self.size:
             return False
         del self.values[: len(self.values) - self.size]
+        self.drawn += 1
+        limit = critical_gap(self.recent, self.recent, self.alpha)
+        if self.binary:
+            ones, mine = sum(self.values[: -self.recent]), sum(self.values[-self.recent:])
+            least, most = max(0, ones + 2 * self.recent - self.size), min(self.recent, ones)
+            if self.recent * max(most - mine, mine - least) < limit:
+                return False
         window = np.asarray(self.values)
         old, new = window[: -self.recent], window[-self.recent:]
-        self.drawn += 1
         rng = np.random.default_rng([self.seed, self.drawn])
-        sample = np.sort(rng.choice(old, self.recent, replace=False))
-        gap = int(window_gaps(sample, new[None, :])[0])
-        limit = critical_gap(self.recent, self.recent, self.alpha)
+        sample = rng.choice(old, self.recent, replace=False)
+        if self.binary:
+            gap = int(self.recent * abs(sample.sum() - mine))
+        else:
+            gap = int(window_gaps(np.sort(sample), new[None, :])[0])
         if gap >= limit and gap / self.recent**2 > 0.1:
             self.values = list(new)
             return True
@@ -207,7 +219,7 @@ def error_stream_detectors(
     trace: DataFrame,
     kinds: list[str] | None = None,
     warm: int = 200,
-    block: int = 200_000,
+    block: int = 500_000,
 ) -> DataFrame:
     """Alarms (stream_id, kind, alarm_pos) on a correctness trace (stream_id, pos, correct).
 
@@ -239,19 +251,22 @@ def error_stream_detectors(
     last = rows.agg(F.max("pos")).first()[0]
     blocks = 0 if last is None else (last - warm) // block + 1
 
-    def step(key: tuple, errors: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        errors = errors.sort_values("pos")
+    def step(key: tuple, errors: pa.Table, states: pa.Table) -> pa.Table:
+        errors = errors.sort_by("pos")
         alarms, after = advance(
-            key[1], states["state"].iloc[0], errors["pos"].to_numpy(), errors["error"].to_numpy()
+            key[1].as_py(), states.column("state")[0].as_py(), errors.column("pos").to_numpy(), errors.column("error").to_numpy()
         )
-        return pd.DataFrame({"stream_id": [key[0]], "kind": [key[1]], "alarms": [alarms], "state": [after]})
+        return pa.table({
+            "stream_id": pa.repeat(key[0], 1), "kind": pa.repeat(key[1], 1),
+            "alarms": pa.array([alarms], pa.list_(pa.int64())), "state": [after],
+        })
 
     keys = ("stream_id", "kind")
     for b in range(blocks):
         part = rows.filter(F.col("block") == b).drop("block").select("*", each_kind)
         state = spark.read.schema(schema).parquet(f"{rounds}/round={b}")
         moved = by_group(part, *keys).groupBy(*keys).cogroup(by_group(state, *keys).groupBy(*keys))
-        moved.applyInPandas(step, schema).write.parquet(f"{rounds}/round={b + 1}")
+        moved.applyInArrow(step, schema).write.parquet(f"{rounds}/round={b + 1}")
     every = spark.read.schema(schema).parquet(*[f"{rounds}/round={b}" for b in range(blocks + 1)])
     return every.select("stream_id", "kind", F.explode("alarms").alias("alarm_pos"))
 
