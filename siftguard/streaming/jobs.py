@@ -77,9 +77,12 @@ def stream_profile_scores(days: DataFrame, rho: float, warmup: int, features: li
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, held, mean, spread = state.get if state.exists else (-1, [], [], [])
-        rows = pd.concat(list(chunks)).drop_duplicates("day").sort_values("day")
-        rows = rows[rows["day"] > seen]
-        x = rows[features].to_numpy(dtype=float)
+        # A few days of one user: plain arrays cost far less here than frames.
+        parts = [(c["day"].to_numpy(), np.column_stack([c[f].to_numpy(dtype=float) for f in features])) for c in chunks]
+        days, x = (np.concatenate(p) for p in zip(*parts))
+        days, first = np.unique(days, return_index=True)
+        x = x[first][days > seen]
+        days = days[days > seen]
         z = np.zeros_like(x)
         held = list(held)
         mean, spread = np.asarray(mean, dtype=float), np.asarray(spread, dtype=float)
@@ -94,13 +97,10 @@ def stream_profile_scores(days: DataFrame, rho: float, warmup: int, features: li
             z[i] = np.maximum((today - mean) / np.sqrt(spread), 0.0)
             mean = rho * mean + (1.0 - rho) * today
             spread = rho * spread + (1.0 - rho) * np.square(today - mean) + 1e-9
-        if len(rows):
-            seen = int(rows["day"].iloc[-1])
+        if len(days):
+            seen = int(days[-1])
         state.update((seen, [float(v) for v in held], mean.tolist(), spread.tolist()))
-        out = pd.DataFrame(z, columns=names)
-        out.insert(0, "day", rows["day"].to_numpy())
-        out.insert(0, "user", np.full(len(out), key[0], dtype=object))
-        yield out
+        yield pd.DataFrame({"user": np.full(len(days), key[0], dtype=object), "day": days, **dict(zip(names, z.T))})
 
     return days.groupBy("user").applyInPandasWithState(
         update,
