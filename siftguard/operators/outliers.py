@@ -166,26 +166,49 @@ def local_outlier_factor(
         "lof-points",
     )
     k = max(1, min(neighbors, (points.agg(F.sum("weight")).first()[0] or 0) - 1))
-    near = materialize(nearest_rows(points.select(F.col("point").alias("query"), "x"), points, k, block_rows), "lof-train")
-    reach = near.groupBy("query").agg(F.max("dist").alias("reach")).withColumnRenamed("query", "point")
-
-    def mean(value: Column) -> Column:
-        return F.sum(F.col("n") * value) / F.sum("n")
-
-    def density(found: DataFrame) -> DataFrame:
-        met = found.join(reach, "point")
-        return met.groupBy("query").agg((1.0 / (mean(F.greatest("reach", "dist")) + 1e-10)).alias("density"))
-
-    known = materialize(density(near), "lof-density")
-    # Equal rows have equal scores: distinct vectors are searched once.
-    rows = df.select(*keep, vector)
-    vectors = rows.select("x").distinct().withColumn("query", F.xxhash64("x", F.lit("query")))
-    asked = materialize(nearest_rows(vectors, points, k, block_rows), "lof-queries")
-    around = asked.join(known.select(F.col("query").alias("point"), F.col("density").alias("theirs")), "point")
-    scored = around.groupBy("query").agg(mean(F.col("theirs")).alias("theirs")).join(density(asked), "query").select(
-        "query", (F.col("theirs") / F.col("density")).alias("outlier")
+    # Equal rows have equal scores: distinct vectors are searched once. A training vector is searched by
+    # the number of its point, without one copy of itself.
+    rows, key = df.select(*keep, vector), F.xxhash64("x", F.lit("query")).alias("key")
+    known = points.select("x", F.col("point").alias("own"))
+    vectors = materialize(
+        rows.select("x").union(points.select("x")).distinct().join(known, "x", "left")
+        .select("x", key, F.coalesce("own", key).alias("query"), F.col("own").isNotNull().alias("trained")),
+        "lof-vectors",
     )
-    return rows.withColumn("query", F.xxhash64("x", F.lit("query"))).join(scored, "query").select(*keep, "outlier")
+    near = materialize(nearest_rows(vectors, points, k, block_rows), "lof-near")
+    trained = vectors.filter("trained").select("query")
+    reach = materialize(near.groupBy("query").agg(F.max("dist").alias("reach")).join(trained, "query"), "lof-reach")
+
+    # As a row to be scored, a training vector has itself for its last neighbour.
+    n, with_own = F.col("n"), F.col("n") - F.when(F.col("upto") >= k, 1).otherwise(0)
+
+    def sums(value: Column, looked_up: DataFrame) -> DataFrame:
+        return near.join(looked_up, "point").groupBy("query").agg(
+            F.sum(n * value).alias("sum"), F.sum("n").alias("n"),
+            F.sum(with_own * value).alias("sum_own"), F.sum(with_own).alias("n_own"),
+        )
+
+    def mean(own: str) -> Column:
+        whole = (F.col("sum_own") + F.col(own)) / (F.col("n_own") + 1)
+        return F.when(F.col(own).isNotNull(), whole).otherwise(F.col("sum") / F.col("n"))
+
+    def density(distance: Column) -> Column:
+        return 1.0 / (distance + 1e-10)
+
+    apart = sums(F.greatest("reach", "dist"), reach.withColumnRenamed("query", "point")).join(reach, "query", "left")
+    dense = materialize(
+        apart.select(
+            "query", density(mean("reach")).alias("density"),
+            F.when(F.col("reach").isNotNull(), density(F.col("sum") / F.col("n"))).alias("trained"),
+        ),
+        "lof-density",
+    )
+    theirs = dense.filter("trained is not null").select(F.col("query").alias("point"), F.col("trained").alias("theirs"))
+    scored = sums(F.col("theirs"), theirs).join(dense, "query").select(
+        "query", (mean("trained") / F.col("density")).alias("outlier")
+    )
+    keyed = vectors.select("key", "query").join(scored, "query")
+    return rows.select(*keep, key).join(keyed, "key").select(*keep, "outlier")
 
 
 def global_user_scores(scored: DataFrame, split_day: int, user: str = "user") -> DataFrame:

@@ -3,10 +3,11 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftguard.operators import outliers, profiles, sampling, user_days
+from siftguard.operators import neighbours, outliers, profiles, sampling, user_days
 from siftguard.operators.user_days import FEATURES
 from siftguard.sources import readers
 
@@ -250,3 +251,38 @@ def test_nearest_rows_with_weights_and_equal_norms(spark):
     nothing = points.limit(0)
     assert outliers.nearest_rows(asked, nothing, 15).count() == 0
     assert outliers.nearest_rows(asked.limit(0), points, 15).count() == 0
+
+
+def test_lof_searches_once_and_sends_back_what_is_in_reach(spark, cloud, monkeypatch):
+    """One search for training rows and rows to be scored; a cell answers with points in reach only."""
+    x, df = cloud
+    searches, whole = [], outliers.nearest_rows
+    monkeypatch.setattr(outliers, "nearest_rows", lambda *a: searches.append(1) or whole(*a))
+    outliers.local_outlier_factor(df, df, ["a", "b"], ["id"], ["id"], 10, 20).count()
+    assert len(searches) == 1
+
+    far = np.array([0.3, 0.0, np.inf])
+    asked = pa.table({"query": pa.array([-1, -2, -3]), "x": pa.array(list(x[:3])), "far": pa.array(far)})
+    held = pa.table({"point": pa.array(range(600)), "x": pa.array(list(x)), "weight": pa.array([1] * 600)})
+    got = neighbours._search(10)(asked, held).to_pandas()
+    dist = np.sqrt(((x[:3, None] - x[None]) ** 2).sum(2))
+    for i in range(3):
+        want = np.sort(dist[i])[:10]
+        assert np.allclose(got.dist[got["query"] == -1 - i], want[want <= far[i]])
+
+
+def test_neighbour_cells_are_few_and_no_partner_is_lost():
+    """Points on a lattice: a box is asked only if it lies in reach, whatever the number of cells."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 3, (8_000, 4)), rng.normal(size=8_000)]).astype(float)
+    tree = neighbours._Tree.grow(x, 100)
+    cell = tree.cells(x)
+    ids = np.unique(cell)
+    low, high = (np.array([f(x[cell == c], axis=0) for c in ids]) for f in (np.min, np.max))
+    cells = neighbours._Cells(ids, np.bincount(cell)[ids], np.ones(len(ids), int), low, high)
+    far = np.full(50, 0.2)
+    row, at = cells.near(x[:50], far)
+    dist = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(2))
+    asked = set(zip(row.tolist(), ids[at].tolist()))
+    assert {(i, int(cell[j])) for i, j in zip(*np.nonzero(dist <= 0.2))} <= asked
+    assert len(ids) > 80 and len(asked) < 50 * 5
