@@ -22,7 +22,7 @@ from siftguard.operators.bitmaps import build_index
 from siftguard.operators.metrics import binary_metrics
 from siftguard.operators.rule_search import SearchSettings, evolve_many, survey_columns
 from siftguard.operators.rules import apply_rule_set
-from siftguard.operators.tfidf import assemble_features, tfidf_fit, vocabulary_rows, word_columns
+from siftguard.operators.tfidf import assemble_features, fold_vocabularies, tfidf_fit, vocabulary_rows, word_columns
 from siftguard.session import keep_hot
 
 MODELS: dict[str, Callable] = {
@@ -48,10 +48,10 @@ def shift_to_positive(train: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     return [t.withColumn("features", array_to_vector(moved)) for t in tables]
 
 
-def split_features(tokenized: DataFrame, test_fold: int, size: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Train and test vectors; the vocabulary is learnt on the training folds only."""
-    train = tokenized.filter(F.col("fold") != test_fold)
-    vocabulary = vocabulary_rows(tfidf_fit(train, size))
+def split_features(
+    tokenized: DataFrame, test_fold: int, vocabulary: list[tuple[str, float]]
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test vectors; the vocabulary was learnt on the training folds only."""
     both = assemble_features(tokenized, vocabulary).select("fold", "label", "features")
     both = keep_hot(both, 20_000)
     return both.filter(F.col("fold") != test_fold), both.filter(F.col("fold") == test_fold)
@@ -71,9 +71,10 @@ def cross_validate_baselines(
     """
     spark: SparkSession = tokenized.sparkSession
     names = models or list(MODELS)
+    vocabularies = fold_vocabularies(tokenized, folds, size)
 
     def one_fold(fold: int) -> list[tuple]:
-        train, test = split_features(tokenized, fold, size)
+        train, test = split_features(tokenized, fold, vocabularies[fold])
         rows = []
         for name in names:
             a, b = shift_to_positive(train, train, test) if name == "NaiveBayes" else (train, test)

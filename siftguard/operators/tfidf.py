@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftguard.functions.text import FEATURE_NAMES
+from siftguard.session import materialize, spread
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -33,8 +34,8 @@ def tokenize_docs(df: DataFrame, text: str = "text", stop_words: list[str] = STO
     return df.withColumn("tokens", tokens(F.col(text), stop_words))
 
 
-def term_counts(tokenized: DataFrame) -> DataFrame:
-    """Corpus count and document count per term, in one shuffle with map-side sums."""
+def term_counts(tokenized: DataFrame, *by: str) -> DataFrame:
+    """Corpus count and document count per term (and ``by``), in one shuffle with map-side sums."""
     pairs = F.concat(
         F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
         F.transform(
@@ -43,8 +44,8 @@ def term_counts(tokenized: DataFrame) -> DataFrame:
         ),
     )
     return (
-        tokenized.select(F.explode(pairs).alias("p"))
-        .groupBy(F.col("p.term").alias("term"))
+        tokenized.select(*by, F.explode(pairs).alias("p"))
+        .groupBy(*by, F.col("p.term").alias("term"))
         .agg(F.sum("p.n").alias("total"), F.sum("p.d").alias("df"))
     )
 
@@ -61,6 +62,26 @@ def tfidf_fit(tokenized: DataFrame, size: int = 300) -> DataFrame:
     return vocabulary_top_n(tokenized, size).withColumn("idf", idf)
 
 
+def fold_vocabularies(tokenized: DataFrame, folds: int, size: int = 300) -> list[list[tuple[str, float]]]:
+    """Per fold the vocabulary that ``tfidf_fit`` finds on the rows of all other folds.
+
+    The tokens are counted once, by fold; a fold's counts are the sums over the others.
+    """
+    docs = {r["fold"]: r["count"] for r in tokenized.groupBy("fold").count().collect()}
+    sums = [
+        F.sum(F.when(F.col("fold") != k, F.col(c))).alias(f"{c}_{k}") for k in range(folds) for c in ("total", "df")
+    ]
+    rows = spread(tokenized.select("fold", "tokens"))
+    counts = materialize(term_counts(rows, "fold").groupBy("term").agg(*sums), "fold-terms")
+    found = []
+    for k in range(folds):
+        others = sum(n for fold, n in docs.items() if fold is not None and fold != k)
+        idf = F.ln((1.0 + F.lit(others)) / (1.0 + F.col(f"df_{k}"))) + 1.0
+        top = counts.filter(F.col(f"total_{k}").isNotNull()).orderBy(F.desc(f"total_{k}"), F.asc("term")).limit(size)
+        found.append(vocabulary_rows(top.select("term", F.col(f"total_{k}").alias("total"), idf.alias("idf"))))
+    return found
+
+
 def _weights(tokenized: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:
     """Dense weight array per document, in vocabulary order, without any shuffle."""
     model = CountVectorizerModel.from_vocabulary(

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from siftguard.functions.text import FEATURE_NAMES, identifier_features, mask_match
+from siftguard.operators import tfidf
 from siftguard.operators.tfidf import (
     assemble_features, term_counts, tfidf_fit, tfidf_transform, tokenize_docs, vocabulary_rows,
 )
@@ -74,3 +75,14 @@ def test_assembled_vector_has_both_parts(spark):
     rows = assemble_features(tokenized, vocabulary).orderBy("doc_id").collect()
     assert len(rows[0].features) == len(vocabulary) + 15
     assert rows[0].features[len(vocabulary) + FEATURE_NAMES.index("pat_person")] == 1.0
+
+
+def test_vocabularies_of_all_folds_from_one_count(spark, monkeypatch):
+    """The words and weights that a fit per fold finds; the tokens are read once for all folds."""
+    rows = [(i % 3 if i else None, [f"w{j}" for j in range(i % 7)] * (1 + i % 2) if i != 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "fold int, tokens array<string>")
+    want = [tfidf.vocabulary_rows(tfidf.tfidf_fit(df.filter(F.col("fold") != k), 4)) for k in range(3)]
+    counted, whole = [], tfidf.term_counts
+    monkeypatch.setattr(tfidf, "term_counts", lambda *a: counted.append(1) or whole(*a))
+    assert tfidf.fold_vocabularies(df, 3, 4) == want
+    assert len(counted) == 1
